@@ -153,20 +153,50 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; unpack() needs their types."""
-    head = np.array([len(a) for a in arrays], np.uint32).tobytes()
-    return head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+_TYPES = [np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i1", "i2", "i4", "i8")]
+_CODE = {t: k for k, t in enumerate(_TYPES)}
 
 
-def unpack(data: bytes, *types) -> list[np.ndarray]:
-    k, out = 4 * len(types), []
-    for n, t in zip(np.frombuffer(data, np.uint32, len(types)), types, strict=True):
-        out.append(np.frombuffer(data, t, int(n), k))
-        k += int(n) * np.dtype(t).itemsize
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as bytes."""
+    head = np.array([x for a in arrays for x in (_CODE[a.dtype], len(a))], np.uint32).tobytes()
+    return len(arrays).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays)
+
+
+def unpack(data: bytes, at: int = 0) -> list[np.ndarray]:
+    n = int.from_bytes(data[at : at + 4], "little")
+    head = np.frombuffer(data, np.uint32, 2 * n, at + 4).tolist()
+    at, out = at + 4 + 8 * n, []
+    for code, size in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(data, _TYPES[code], size, at))
+        at += size * _TYPES[code].itemsize
     return out
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in as few bytes each as the largest needs."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else U64)
+
+
+def steps(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owners, positions of each, steps from one to the next) of positions that rise within each owner; owners stand together."""
+    if not len(owner):
+        return owner, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    at = at.astype(np.int64)
+    step = np.concatenate((at[:1], at[1:] - at[:-1]))
+    step[first] = at[first]
+    return owner[first], small(np.diff(np.concatenate((first, [len(owner)])))), small(step)
+
+
+def positions(count: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The positions whose steps() these are."""
+    total = np.cumsum(step.astype(np.int64))
+    first = np.cumsum(count.astype(np.int64)) - count
+    return total - np.repeat(total[first] - step[first], count)
+
+
 def by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, positions) of each part that occurs."""
     order = np.argsort(part, kind="stable")
@@ -179,14 +209,84 @@ def by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 # --- documents and what was found about them, brought together by row key ---------------------------------
 
 
-def _as_rows(batches):
-    press = zstandard.ZstdCompressor(level=3)
-    for b in pieces(batches):
-        body = texts(b)
-        key = [signed(uid(i, t)) for i, t in zip(ids(b), body, strict=True)]
-        own = [pa.array(key, pa.int64()), pa.array([0] * len(key), pa.int32()), b.column("doc_id").cast(pa.int64()), pa.array([press.compress(t) for t in body], pa.binary())]
-        rest = [b.column(k) for k in range(2, b.num_columns)]
-        yield pa.RecordBatch.from_arrays([*own, *rest], names=["uid", "kind", "doc_id", "data", "rest"][: 4 + len(rest)])
+ROUTED = "part int, kind int, data binary"
+DOCS, WHOLE, RANGES, EDGES, OTHER = range(5)  # kinds of rows; WHOLE, RANGES and EDGES are marks
+
+
+def rows_of(part: list[int], kind: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+
+
+def part_of(uids: np.ndarray, parts: int) -> np.ndarray:
+    return uids.view(U64) % U64(parts)
+
+
+def marks(kind: int, parts: int, uids: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """Rows that bring marks to their documents, a row for each part."""
+    out_p, out_d = [], []
+    for p, sel in by_part(part_of(uids, parts), parts):
+        sel = sel[np.argsort(uids[sel], kind="stable")]
+        own, count, _ = steps(uids[sel], np.zeros(len(sel), np.int64))
+        out_p.append(p)
+        out_d.append(pack(own, count, *[c[sel] for c in columns]))
+    return out_p, [kind] * len(out_p), out_d
+
+
+class Marks:
+    """All marks of a part, by row key."""
+
+    def __init__(self):
+        self.held: dict[int, list[list[np.ndarray]]] = {}
+        self.sorted: dict[int, tuple[dict[int, tuple[int, int]], list[np.ndarray]]] | None = None
+
+    def add(self, kind: int, data: bytes) -> None:
+        own, count, *columns = unpack(data)
+        self.held.setdefault(kind, []).append([np.repeat(own, count), *columns])
+
+    def of(self, key: int) -> dict[int, list[np.ndarray]]:
+        if self.sorted is None:
+            self.sorted = {}
+            for kind, blocks in self.held.items():
+                uids, *columns = (np.concatenate(c) for c in zip(*blocks, strict=True))
+                order = np.argsort(uids, kind="stable")
+                uids = uids[order]
+                edge = [*np.flatnonzero(np.concatenate(([True], uids[1:] != uids[:-1]))).tolist(), len(uids)]
+                self.sorted[kind] = ({k: (a, b) for k, a, b in zip(uids[edge[:-1]].tolist(), edge, edge[1:], strict=False)}, [c[order] for c in columns])
+            self.held = {}
+        out = {}
+        for kind, (where, columns) in self.sorted.items():
+            if key in where:
+                a, b = where[key]
+                out[kind] = [c[a:b] for c in columns]
+        return out
+
+
+def _packed(parts: int):
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in pieces(batches):
+            body, doc_ids = texts(b), ids(b)
+            uids = np.array([uid(i, t) for i, t in zip(doc_ids, body, strict=True)], U64).view(np.int64)
+            rest = b.column("rest") if "rest" in b.schema.names else None
+            out_p, out_d = [], []
+            for p, sel in by_part(part_of(uids, parts), parts):
+                k = sel.tolist()
+                own = b""
+                if rest is not None:
+                    sink = pa.BufferOutputStream()
+                    one = pa.RecordBatch.from_arrays([rest.take(pa.array(sel))], names=["rest"])
+                    with pa.ipc.new_stream(sink, one.schema) as writer:
+                        writer.write_batch(one)
+                    own = sink.getvalue().to_pybytes()
+                text = b"".join([body[i] for i in k])
+                out_p.append(p)
+                out_d.append(press.compress(pack(
+                    uids[sel], np.array([0 if doc_ids[i] is None else doc_ids[i] for i in k], np.int64), np.array([doc_ids[i] is not None for i in k]).astype(np.uint8),
+                    np.array([len(body[i]) for i in k], np.uint32), np.frombuffer(own, np.uint8), np.frombuffer(text, np.uint8),
+                )))
+            yield rows_of(out_p, [DOCS] * len(out_p), out_d)
+
+    return run
 
 
 def carried(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -200,28 +300,28 @@ def schema_of(docs: DataFrame, own: str) -> str:
     return own + "".join(f", rest {f.dataType.simpleString()}" for f in docs.schema.fields if f.name == "rest")
 
 
-def routed(docs: DataFrame, marks: DataFrame, n: int) -> DataFrame:
-    """Documents (kind 0) and their marks (kind 1), one shuffle, marks before the rows they belong to.
+def routed(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """Documents and the marks found for them, packed, one shuffle; in each of the n parts marks come first.
 
-    docs has doc_id and text, and perhaps rest.
+    docs has doc_id and text, and perhaps rest; found has rows of marks().
     """
-    rows = docs.mapInArrow(_as_rows, schema_of(docs, "uid long, kind int, doc_id long, data binary"))
-    marks = marks.select("uid", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "data")
-    return rows.unionByName(marks, allowMissingColumns=True).repartition(n, "uid").sortWithinPartitions("uid", F.desc("kind"))
+    return docs.mapInArrow(_packed(n), ROUTED).unionByName(found).repartitionById(n, F.col("part")).sortWithinPartitions(F.desc("kind"))
 
 
 def streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """(uid, doc_id, text, marks, rest) of each document of a routed() partition, a document at a time."""
-    unpress, last, marks = zstandard.ZstdDecompressor(), None, []
+    """(uid, doc_id, text, marks by kind, rest) of each document of a routed() part, a document at a time."""
+    unpress, found = zstandard.ZstdDecompressor(), Marks()
     for b in batches:
-        rest = b.column("rest").to_pylist() if "rest" in b.schema.names else repeat(None)
-        for key, kind, doc_id, data, more in zip(*(b.column(c).to_pylist() for c in ("uid", "kind", "doc_id", "data")), rest, strict=False):
-            if key != last:
-                last, marks = key, []
-            if kind:
-                marks.append(data)
-            else:
-                yield key, doc_id, unpress.decompress(data), marks, more
+        for kind, data in zip(b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True):
+            if kind != DOCS:
+                found.add(kind, data)
+                continue
+            uids, doc_ids, valid, size, own, text = unpack(unpress.decompress(data))
+            rest = pa.ipc.open_stream(own.tobytes()).read_all().column("rest").to_pylist() if len(own) else repeat(None)
+            text, at = text.tobytes(), 0
+            for key, doc_id, is_id, n, more in zip(uids.tolist(), doc_ids.tolist(), valid.tolist(), size.tolist(), rest, strict=False):
+                yield key, doc_id if is_id else None, text[at : at + n], found.of(key), more
+                at += n
 
 
 def grouped(rows: Iterator[tuple], limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:

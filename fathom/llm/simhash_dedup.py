@@ -157,7 +157,7 @@ def _links(bits: int):
         keys, marks = [], []
         for b in batches:
             for data in b.column("data").to_pylist():
-                k, m = C.unpack(data, U64, U64)
+                k, m = C.unpack(data)
                 keys.append(k)
                 marks.append(m)
         if not keys:

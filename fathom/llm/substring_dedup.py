@@ -5,11 +5,14 @@ a hash of what it stands for, so names are the same in every document and on eve
 exchange. Each symbol also carries the stretch of words on which its being there depends; a symbol whose
 stretch lies inside a window occurs, at the same offset, in every other occurrence of that window. So for
 each window one interior symbol is chosen by its content alone, and only windows whose symbol is shared by
-two documents can repeat. Those windows are named by 96 bits and meet by name; the smallest doc_id of each
+two documents can repeat. Those windows are named by 80 bits and meet by name; the smallest doc_id of each
 name decides.
 
-Shuffles: the chosen symbols (packed, about one for four words), the candidate windows, and the texts twice,
-with what was found about them. Copies within a chunk are folded before the first one.
+Of the interior symbols of three words or more the one with the least hash is chosen, so neighbouring windows
+mostly choose the same.
+
+Shuffles, all of packed rows: the chosen symbols, the candidate windows, and the texts twice, with what was found
+about them. Copies within a chunk are folded before the first one.
 
 Null texts have no words. A null doc_id counts as larger than any other. Equal doc_ids do not remove from
 each other. Empty tables give empty results.
@@ -22,14 +25,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _common as C
 
 U64 = np.uint64
 WINDOW, ROUNDS = 13, 4
-CLASSES = ((3, 5), (6, 99))  # words in a chosen symbol, best first; windows without one are named whole
-MARK = "uid long, data binary"
-PART = "part int, data binary"
+LEAST = 3  # words in a chosen symbol; windows without one are named whole
 
 
 def recompress(sym: np.ndarray, rounds: int = ROUNDS):
@@ -66,29 +68,30 @@ def recompress(sym: np.ndarray, rounds: int = ROUNDS):
 
 
 def anchors(sym: np.ndarray, starts: np.ndarray, window: int = WINDOW):
-    """For the window at each of the starts: (name of its symbol, where that begins, level)."""
-    n = len(starts)
-    name, at = np.zeros(n, U64), np.full(n, -1, np.int32)
-    rounds = list(recompress(sym))
-    open_ = np.arange(n)
-    for low, high in CLASSES:
-        for level, (s, st, en, dl, dr) in reversed(list(enumerate(rounds))):
-            ok = (en - st >= low) & (en - st <= high) & (dr - dl <= window)
-            if not len(open_) or not ok.any():
-                continue
-            s, st, dl, dr = s[ok], st[ok], dl[ok], dr[ok]
-            w = starts[open_]
-            # first symbol with dl >= start: dl does not fall from one symbol to the next
-            upto = np.zeros(len(sym) + 1, np.int32)
-            upto[1:] = np.cumsum(np.bincount(dl, minlength=len(sym))[: len(sym)])
-            k = upto[w]
-            hit = k < len(dl)
-            hit[hit] = dr[k[hit]] <= w[hit] + window
-            got = open_[hit]
-            name[got] = C.mix(s[k[hit]] + U64(level * 2 + 1))
-            at[got] = st[k[hit]]
-            open_ = open_[~hit]
-    return name, at, open_
+    """For the window at each of the starts: (name of its symbol, where that begins), and the windows without one."""
+    n = len(sym)
+    best, at = np.full(len(starts), np.iinfo(np.uint64).max, U64), np.full(len(starts), -1, np.int32)
+    for name, st, en, dl, dr in recompress(sym):
+        ok = (en - st >= LEAST) & (dr - dl <= window)
+        if not ok.any():
+            continue
+        name, st, dl, dr = C.mix(name[ok]), st[ok], dl[ok], dr[ok]
+        # neither dl nor dr falls from one symbol to the next: those inside a window are neighbours
+        below, upto = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        np.cumsum(np.bincount(dl, minlength=n)[:n], out=below[1:])
+        upto[:] = np.cumsum(np.bincount(dr, minlength=n + 1)[: n + 1])
+        k, end = below[starts], upto[starts + window]
+        open_ = np.flatnonzero(k < end)
+        k, end = k[open_], end[open_]
+        while len(open_):
+            now, here = name[k], st[k]
+            better = (now < best[open_]) | ((now == best[open_]) & (here < at[open_]))
+            got = open_[better]
+            best[got], at[got] = now[better], here[better]
+            k = k + 1
+            more = k < end
+            open_, k, end = open_[more], k[more], end[more]
+    return best, at, np.flatnonzero(at < 0)
 
 
 def _flat(words: list[list[bytes]], names: C.Names):
@@ -129,12 +132,10 @@ def _emit(parts: int, window: int):
                 if (j := best.setdefault(t, k)) != k and keys[k] < keys[j]:
                     best[t] = k
             rows = sorted(best.values())
-            later = [k for k, t in enumerate(body) if keys[k] > keys[best[t]]]
-            out_p, out_d = [], []
-            if later:  # copies of a smaller doc_id in this chunk: each window is removed
-                whole = np.array([C.signed(C.uid(None if keys[k] == C.NO_ID else keys[k], body[k])) for k in later], np.int64)
-                out_p.append(-1)
-                out_d.append(whole.tobytes())
+            uids = np.array([C.uid(None if i == C.NO_ID else i, t) for i, t in zip(keys, body, strict=True)], U64).view(np.int64)
+            # copies of a smaller doc_id in this chunk: each of their windows is removed
+            later = np.array([k for k, t in enumerate(body) if keys[k] > keys[best[t]]], np.int64)
+            out = C.marks(C.WHOLE, parts, uids[later])
             words = [body[k].split() for k in rows]
             sym, begin, size = _flat(words, names)
             starts, doc = _starts(begin, size, window)
@@ -143,54 +144,44 @@ def _emit(parts: int, window: int):
                 if len(left):
                     name[left] = _window_names(sym, starts[left], window)[0]
                     at[left] = -1 - np.arange(len(left))
-                run_ = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))))
-                count = np.diff(np.concatenate((run_, [len(at)])))
-                name, d, s = name[run_], doc[run_], (starts - begin[doc])[run_]
-                uid = np.array([C.uid(None if keys[k] == C.NO_ID else keys[k], body[k]) for k in rows], U64)
+                new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))))
+                count = np.diff(np.concatenate((new, [len(at)])))
+                name, d, s = name[new], doc[new], (starts - begin[doc])[new]
+                own = uids[rows]
                 for p, sel in C.by_part((name >> U64(32)) % U64(parts), parts):
-                    used, idx = np.unique(d[sel], return_inverse=True)
-                    out_p.append(p)
-                    out_d.append(C.pack(name[sel].astype(np.uint32), idx.astype(np.uint32), s[sel].astype(np.uint32), count[sel].astype(np.uint8), uid[used]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_d, pa.binary())], names=["part", "data"])
+                    used, times, step = C.steps(d[sel], s[sel])
+                    out[0].append(p)
+                    out[1].append(C.OTHER)
+                    out[2].append(C.pack(name[sel].astype(np.uint32), own[used], times, step, C.small(count[sel])))
+            yield C.rows_of(*out)
 
     return run
 
 
-def _ranges(uid: np.ndarray, a: np.ndarray, b: np.ndarray, kind: int):
-    """One mark for each uid: its ranges [a, b) behind a byte for their kind."""
-    order = np.lexsort((a, uid))
-    uid, a, b = uid[order], a[order], b[order]
-    cut = np.flatnonzero(np.diff(uid.view(np.int64))) + 1
-    edge = [0, *cut.tolist(), len(uid)]
-    return [C.signed(int(uid[x])) for x in edge[:-1] if x < len(uid)], [bytes([kind]) + C.pack(a[x:y].astype(np.uint32), b[x:y].astype(np.uint32)) for x, y in zip(edge, edge[1:], strict=False) if y > x]
-
-
-def _marks(uids, data):
-    return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(data, pa.binary())], names=["uid", "data"])
+def _shared(parts: int):
+    """Symbols that two documents have -> the windows that chose them, by document."""
 
+    def run(batches):
+        got = []
+        for b in batches:
+            for p, kind, data in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
+                if kind != C.OTHER:
+                    yield C.rows_of([p], [kind], [data])
+                    continue
+                name, own, times, step, count = C.unpack(data)
+                got.append((name, np.repeat(own, times), C.positions(times, step).astype(np.uint32), count.astype(np.uint32)))
+        if not got:
+            return
+        name, uid, s, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(name, kind="stable")
+        name, uid, s, count = name[order], uid[order], s[order], count[order]
+        first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+        several = np.minimum.reduceat(uid, first) != np.maximum.reduceat(uid, first)
+        keep = np.repeat(several, np.diff(np.concatenate((first, [len(name)]))))
+        if keep.any():
+            yield C.rows_of(*C.marks(C.RANGES, parts, uid[keep], s[keep], C.small(count[keep])))
 
-def _shared(batches):
-    """Symbols that two documents have -> the windows that chose them, by document."""
-    got = []
-    for b in batches:
-        for p, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-            if p < 0:
-                whole = np.frombuffer(data, np.int64)
-                yield _marks(whole.tolist(), [b"\x01"] * len(whole))
-                continue
-            name, idx, s, count, uid = C.unpack(data, np.uint32, np.uint32, np.uint32, np.uint8, U64)
-            part = np.full(len(name), p, np.int32)
-            got.append((part, name, uid[idx], s, count))
-    if not got:
-        return
-    part, name, uid, s, count = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((name, part))
-    part, name, uid, s, count = part[order], name[order], uid[order], s[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (name[1:] != name[:-1]))))
-    several = np.minimum.reduceat(uid, first) != np.maximum.reduceat(uid, first)
-    keep = np.repeat(several, np.diff(np.concatenate((first, [len(name)]))))
-    if keep.any():
-        yield _marks(*_ranges(uid[keep], s[keep], s[keep].astype(np.int64) + count[keep], 2))
+    return run
 
 
 def _candidates(parts: int, window: int):
@@ -200,73 +191,72 @@ def _candidates(parts: int, window: int):
         names = C.Names()
         for rows in C.grouped(r for r in C.streamed(batches) if r[3]):
             names.fresh()
-            out_p, out_d = [], []
-            whole = {r[0] for r in rows if b"\x01" in r[3]}
-            if whole:
-                out_p.append(-1)
-                out_d.append(np.array(sorted(whole), np.int64).tobytes())
-            rows = [r for r in rows if r[0] not in whole]
-            sym, begin, size = _flat([r[2].split() for r in rows], names) if rows else (np.zeros(0, U64),) * 3
+            out = C.marks(C.WHOLE, parts, np.array([r[0] for r in rows if C.WHOLE in r[3]], np.int64))
+            rows = [r for r in rows if C.WHOLE not in r[3]]
+            sym, begin, _ = _flat([r[2].split() for r in rows], names)
             picked, doc = [], []
             for k, r in enumerate(rows):
-                for m in r[3]:
-                    a, b = C.unpack(m[1:], np.uint32, np.uint32)
-                    n = (b - a).astype(np.int64)
-                    s = np.repeat(a.astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    picked.append(s + begin[k])
-                    doc.append(np.full(len(s), k))
+                a, n = r[3][C.RANGES]
+                a, n = a.astype(np.int64), n.astype(np.int64)
+                s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                s.sort()
+                picked.append(s + begin[k])
+                doc.append(np.full(len(s), k))
             if picked:
                 s, d = np.concatenate(picked), np.concatenate(doc)
                 one, two = _window_names(sym, s, window)
                 uid = np.array([r[0] for r in rows], np.int64)
                 key = np.array([C.NO_ID if r[1] is None else r[1] for r in rows], np.int64)
                 for p, sel in C.by_part((two >> U64(32)) % U64(parts), parts):
-                    used, idx = np.unique(d[sel], return_inverse=True)
-                    out_p.append(p)
-                    out_d.append(C.pack(one[sel], two[sel].astype(np.uint32), idx.astype(np.uint32), (s - begin[d])[sel].astype(np.uint32), uid[used], key[used]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_d, pa.binary())], names=["part", "data"])
+                    used, times, step = C.steps(d[sel], (s - begin[d])[sel])
+                    out[0].append(p)
+                    out[1].append(C.OTHER)
+                    out[2].append(C.pack(one[sel], two[sel].astype(np.uint16), uid[used], key[used], times, step))
+            yield C.rows_of(*out)
 
     return run
 
 
-def _judged(batches):
+def _judged(parts: int):
     """Windows that a smaller doc_id has -> removed ranges of words, by document."""
-    got = []
-    for b in batches:
-        for p, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-            if p < 0:
-                whole = np.frombuffer(data, np.int64)
-                yield _marks(whole.tolist(), [b"\x01"] * len(whole))
-                continue
-            one, two, idx, s, uid, key = C.unpack(data, U64, np.uint32, np.uint32, np.uint32, np.int64, np.int64)
-            got.append((np.full(len(one), p, np.int32), one, two, uid[idx], key[idx], s))
-    if not got:
-        return
-    part, one, two, uid, key, s = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((two, one, part))
-    part, one, two, uid, key, s = (x[order] for x in (part, one, two, uid, key, s))
-    first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-    least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate((first, [len(one)]))))
-    late = key > least
-    if late.any():
-        uid, s = uid[late], s[late].astype(np.int64)
-        order = np.lexsort((s, uid))
-        uid, s = uid[order], s[order]
-        new = np.flatnonzero(np.concatenate(([True], (uid[1:] != uid[:-1]) | (s[1:] > s[:-1] + 1))))
-        end = s[np.concatenate((new[1:], [len(s)])) - 1] + 1
-        yield _marks(*_ranges(uid[new].view(U64), s[new], end, 2))
-
-
-def removed_words(n: int, marks: list[bytes], window: int = WINDOW) -> np.ndarray:
+
+    def run(batches):
+        got = []
+        for b in batches:
+            for p, kind, data in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
+                if kind != C.OTHER:
+                    yield C.rows_of([p], [kind], [data])
+                    continue
+                one, two, uid, key, times, step = C.unpack(data)
+                got.append((one, two, np.repeat(uid, times), np.repeat(key, times), C.positions(times, step)))
+        if not got:
+            return
+        one, two, uid, key, s = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((two, one))
+        one, two, uid, key, s = (x[order] for x in (one, two, uid, key, s))
+        first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate((first, [len(one)]))))
+        late = key > least
+        if late.any():
+            uid, s = uid[late], s[late]
+            order = np.lexsort((s, uid))
+            uid, s = uid[order], s[order]
+            new = np.flatnonzero(np.concatenate(([True], (uid[1:] != uid[:-1]) | (s[1:] > s[:-1] + 1))))
+            end = s[np.concatenate((new[1:], [len(s)])) - 1] + 1
+            yield C.rows_of(*C.marks(C.RANGES, parts, uid[new], s[new].astype(np.uint32), C.small(end - s[new])))
+
+    return run
+
+
+def removed_words(n: int, marks: dict[int, list[np.ndarray]], window: int = WINDOW) -> np.ndarray:
     """True for each of the n words that a removed window covers."""
-    gone = np.zeros(n + 1, np.int32)
-    for m in marks:
-        if m[0] == 1:
-            return np.full(n, n >= window)
-        a, b = C.unpack(m[1:], np.uint32, np.uint32)
-        np.add.at(gone, a, 1)
-        np.add.at(gone, b.astype(np.int64) + window - 1, -1)
-    return np.cumsum(gone[:n]) > 0
+    if C.WHOLE in marks:
+        return np.full(n, n >= window)
+    start, count = marks[C.RANGES]
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, start, 1)
+    np.add.at(change, start.astype(np.int64) + count + window - 1, -1)
+    return np.cumsum(change[:n]) > 0
 
 
 def _apply(window: int, with_text: bool):
@@ -301,8 +291,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fal
     """
     docs = C.carried(docs, [])
     n = C.fan_out(docs)
-    found = docs.mapInArrow(_emit(n, window), PART).repartition(n, "part").mapInArrow(_shared, MARK)
-    names = C.routed(docs, found, n).mapInArrow(_candidates(n, window), PART)
-    judged = names.repartition(n, "part").mapInArrow(_judged, MARK)
+    found = docs.mapInArrow(_emit(n, window), C.ROUTED).repartitionById(n, F.col("part")).mapInArrow(_shared(n), C.ROUTED)
+    names = C.routed(docs, found, n).mapInArrow(_candidates(n, window), C.ROUTED)
+    judged = names.repartitionById(n, F.col("part")).mapInArrow(_judged(n), C.ROUTED)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return C.routed(docs, judged, n).mapInArrow(_apply(window, keep_text), schema)

@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,8 +37,7 @@ from .disk_queue import DiskQueue
 U64 = np.uint64
 LENGTH, LEVELS = 400, 4
 CHUNK = 2 << 20
-MARK, PART = "uid long, data binary", "part int, data binary"
-TUPLE = np.dtype([("part", np.int32), ("prefix", U64), ("stretch", U64), ("uid", U64), ("start", np.uint32), ("count", np.uint16), ("lead", np.uint16)])
+TUPLE = np.dtype([("prefix", U64), ("stretch", U64), ("uid", np.int64), ("start", np.uint32), ("count", np.uint16), ("lead", np.uint16)])
 _BYTES = C.mix(np.arange(256, dtype=U64) + U64(0xC2B2AE3D27D4EB4F))
 
 
@@ -132,50 +132,34 @@ def _emit(parts: int, length: int):
             rows: dict[bytes, list] = {}
             for i, t in zip(C.ids(batch), C.texts(batch), strict=True):
                 rows.setdefault(t, []).append(C.uid(i, t))
-            out_p, out_d = [], []
-            whole = [C.signed(u) for t, us in rows.items() if len(us) > 1 and len(t) >= length for u in us]
-            if whole:
-                out_p.append(-1)
-                out_d.append(np.array(whole, np.int64).tobytes())
+            whole = [u for t, us in rows.items() if len(us) > 1 and len(t) >= length for u in us]
+            out = C.marks(C.WHOLE, parts, np.array(whole, U64).view(np.int64))
             if got := tuples(list(rows), length):
                 prefix, stretch, d, s, count, lead = got
-                uid = np.array([us[0] for us in rows.values()], U64)
+                uid = np.array([us[0] for us in rows.values()], U64).view(np.int64)
                 for p, sel in C.by_part((prefix >> U64(40)) % U64(parts), parts):
-                    used, idx = np.unique(d[sel], return_inverse=True)
-                    out_p.append(p)
-                    out_d.append(C.pack(prefix[sel], stretch[sel], idx.astype(np.uint32), s[sel], count[sel], lead[sel], uid[used]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_d, pa.binary())], names=["part", "data"])
+                    used, times, step = C.steps(d[sel], s[sel])
+                    out[0].append(p)
+                    out[1].append(C.OTHER)
+                    out[2].append(C.pack(prefix[sel], stretch[sel], uid[used], times, step, C.small(count[sel]), C.small(lead[sel])))
+            yield C.rows_of(*out)
 
     return run
 
 
-def _marks(uids, data):
-    return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(data, pa.binary())], names=["uid", "data"])
-
-
-def _split(uid: np.ndarray):
-    order = np.argsort(uid, kind="stable")
-    u = uid[order]
-    cut = [0, *(np.flatnonzero(u[1:] != u[:-1]) + 1).tolist(), len(u)]
-    for a, b in zip(cut, cut[1:], strict=False):
-        if b > a:
-            yield C.signed(int(u[a])), order[a:b]
-
-
-def _sorted(memory: int):
-    """Tuples in order -> stretches that occur twice (kind 2), stretches that share a prefix only (kind 3)."""
+def _sorted(parts: int, memory: int):
+    """Tuples in order -> stretches that occur twice (ranges), stretches that share a prefix only (edges)."""
 
     def run(batches):
         queue = DiskQueue(TUPLE, ["prefix", "stretch"], memory)
         for b in batches:
-            for p, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                if p < 0:
-                    whole = np.frombuffer(data, np.int64)
-                    yield _marks(whole.tolist(), [b"\x01"] * len(whole))
+            for p, kind, data in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
+                if kind != C.OTHER:
+                    yield C.rows_of([p], [kind], [data])
                     continue
-                prefix, stretch, idx, s, count, lead, uid = C.unpack(data, U64, U64, np.uint32, np.uint32, np.uint16, np.uint16, U64)
+                prefix, stretch, uid, times, step, count, lead = C.unpack(data)
                 block = np.empty(len(prefix), TUPLE)
-                for name, v in zip(TUPLE.names, (p, prefix, stretch, uid[idx], s, count, lead), strict=True):
+                for name, v in zip(TUPLE.names, (prefix, stretch, np.repeat(uid, times), C.positions(times, step), count, lead), strict=True):
                     block[name] = v
                 queue.push(block)
         for t in queue.pops():
@@ -189,28 +173,14 @@ def _sorted(memory: int):
             edge = np.zeros(len(t), bool)
             edge[at_s] = kinds[group] > 1  # one tuple of each stretch stands for it
             full, edge = t[twice], t[edge]
-            for u, sel in _split(full["uid"]):
-                yield _marks([u], [b"\x02" + C.pack(full["start"][sel], full["start"][sel] + full["count"][sel])])
-            for u, sel in _split(edge["uid"]):
-                e = edge[sel]
-                yield _marks([u], [b"\x03" + C.pack(e["prefix"], e["start"], e["count"], e["lead"])])
+            if len(full):
+                yield C.rows_of(*C.marks(C.RANGES, parts, full["uid"], full["start"], full["count"]))
+            if len(edge):
+                yield C.rows_of(*C.marks(C.EDGES, parts, edge["uid"], edge["prefix"], edge["start"], edge["count"], edge["lead"]))
 
     return run
 
 
-def _gathered(batches, size: int = 4000):
-    """Marks in larger batches."""
-    uids, data = [], []
-    for b in batches:
-        uids += b.column("uid").to_pylist()
-        data += b.column("data").to_pylist()
-        if len(uids) >= size:
-            yield _marks(uids, data)
-            uids, data = [], []
-    if uids:
-        yield _marks(uids, data)
-
-
 def _stretches(parts: int, length: int):
     """The text of stretches that share a prefix only, dealt out by prefix."""
 
@@ -218,32 +188,34 @@ def _stretches(parts: int, length: int):
         for rows in C.grouped((r for r in C.streamed(batches) if r[3]), CHUNK):
             got = []
             for key, _, text, marks, _ in rows:
-                for m in marks:
-                    prefix, s, count, lead = C.unpack(m[1:], U64, np.uint32, np.uint16, np.uint16)
-                    got += [(x, key, a, c, o, text[a : a + c + length - 1]) for x, a, c, o in zip(prefix.tolist(), s.tolist(), count.tolist(), lead.tolist(), strict=True)]
-            out_p, out_d = [], []
+                prefix, s, count, lead = marks[C.EDGES]
+                got += [(x, key, a, c, o, text[a : a + c + length - 1]) for x, a, c, o in zip(prefix.tolist(), s.tolist(), count.tolist(), lead.tolist(), strict=True)]
+            out = [], [], []
             if got:
                 part = (np.array([g[0] for g in got], U64) >> U64(40)) % U64(parts)
+                press = zstandard.ZstdCompressor(level=1)
                 for p, sel in C.by_part(part, parts):
                     x = [got[i] for i in sel.tolist()]
                     cols = [np.array([g[i] for g in x], t) for i, t in ((0, U64), (1, np.int64), (2, np.uint32), (3, np.uint16), (4, np.uint16))]
-                    out_p.append(p)
-                    out_d.append(C.pack(*cols, np.frombuffer(b"".join(g[5] for g in x), np.uint8)))
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_d, pa.binary())], names=["part", "data"])
+                    out[0].append(p)
+                    out[1].append(C.OTHER)
+                    out[2].append(press.compress(C.pack(*cols, np.frombuffer(b"".join(g[5] for g in x), np.uint8))))
+            yield C.rows_of(*out)
 
     return run
 
 
-def _compared(length: int, at_once: int = 2_000_000):
+def _compared(parts: int, length: int, at_once: int = 2_000_000):
     """Windows of stretches with a common prefix that two stretches have -> ranges of window starts."""
 
     def run(batches):
         cols = [[] for _ in range(5)]
         text, here = [], 0
         places = []
+        unpress = zstandard.ZstdDecompressor()
         for b in batches:
             for data in b.column("data").to_pylist():
-                *five, body = C.unpack(data, U64, np.int64, np.uint32, np.uint16, np.uint16, np.uint8)
+                *five, body = C.unpack(unpress.decompress(data))
                 for c, v in zip(cols, five, strict=True):
                     c.append(v)
                 size = five[3].astype(np.int64) + length - 1
@@ -277,22 +249,23 @@ def _compared(length: int, at_once: int = 2_000_000):
             if again.any():
                 which = np.repeat(np.arange(a, b), n)[again]
                 s = start[which].astype(np.int64) + j[again]
-                for u, sel in _split(uid[which].view(U64)):
-                    yield _marks([u], [b"\x02" + C.pack(s[sel].astype(np.uint32), (s[sel] + 1).astype(np.uint32))])
+                own = uid[which]
+                order = np.lexsort((s, own))
+                s, own = s[order], own[order]
+                first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (s[1:] > s[:-1] + 1))))
+                end = s[np.concatenate((first[1:], [len(s)])) - 1] + 1
+                yield C.rows_of(*C.marks(C.RANGES, parts, own[first], s[first].astype(np.uint32), (end - s[first]).astype(np.uint32)))
 
     return run
 
 
-def removed_bytes(n: int, marks: list[bytes], length: int = LENGTH) -> np.ndarray:
+def removed_bytes(n: int, marks: dict[int, list[np.ndarray]], length: int = LENGTH) -> np.ndarray:
     """True for each of the n bytes that a repeated window covers."""
-    gone = np.zeros(n + 1, np.int32)
-    for m in marks:
-        if m[0] == 1:
-            return np.full(n, n >= length)
-        if m[0] == 2:
-            a, b = C.unpack(m[1:], np.uint32, np.uint32)
-            gone[: n + 1] += np.bincount(a, minlength=n + 1)[: n + 1].astype(np.int32) - np.bincount(b.astype(np.int64) + length - 1, minlength=n + 1)[: n + 1].astype(np.int32)
-    return np.cumsum(gone[:n]) > 0
+    if C.WHOLE in marks:
+        return np.full(n, n >= length)
+    start, count = marks[C.RANGES]
+    change = np.bincount(start, minlength=n + 1) - np.bincount(start.astype(np.int64) + count + length - 1, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
 
 
 def _apply(length: int, with_text: bool, rest: pa.DataType | None):
@@ -332,12 +305,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False
     docs = C.carried(docs, list(carry))
     n = C.fan_out(docs)
     plain = docs.select("doc_id", "text")
-    found = plain.mapInArrow(_emit(n, length), PART).repartition(n, "part").mapInArrow(_sorted(memory), MARK).mapInArrow(_gathered, MARK)
-    found = C.checkpointed(found)  # read twice below
-    kind = found.data.substr(1, 1)
-    edges, full = found.filter(kind == b"\x03"), found.filter(kind != b"\x03")
-    stretches = C.routed(plain, edges, n).mapInArrow(_stretches(n, length), PART)
-    more = stretches.repartition(n, "part").mapInArrow(_compared(length), MARK).mapInArrow(_gathered, MARK)
+    part = F.col("part")
+    found = C.checkpointed(plain.mapInArrow(_emit(n, length), C.ROUTED).repartitionById(n, part).mapInArrow(_sorted(n, memory), C.ROUTED))  # read twice below
+    edges, full = found.where(f"kind = {C.EDGES}"), found.where(f"kind <> {C.EDGES}")
+    stretches = C.routed(plain, edges, n).mapInArrow(_stretches(n, length), C.ROUTED)
+    more = stretches.repartitionById(n, part).mapInArrow(_compared(n, length), C.ROUTED)
     schema = C.schema_of(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
     rest = to_arrow_type(docs.schema["rest"].dataType) if carry else None
     out = C.routed(docs, full.unionByName(more), n).mapInArrow(_apply(length, keep_bytes, rest), schema)

@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -142,8 +143,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[bytes]
         some = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
     # at most MAX_TOXIC + MAX_ORDINARY rows of two numbers
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("toxic", "text").collect()
-    return [r.text.encode() for r in got if r.toxic], [r.text.encode() for r in got if not r.toxic]
+    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("toxic", "text").toArrow()
+    body = got.column("text").cast(pa.large_binary())
+    toxic, ordinary = (body.filter(pc.equal(got.column("toxic"), label)).to_pylist() for label in (1, 0))
+    return toxic, ordinary
 
 
 def _score(model):

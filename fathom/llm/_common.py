@@ -9,6 +9,8 @@ Conventions kept by every operator here:
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -21,10 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any other
 
 U64 = np.uint64
+pa.set_memory_pool(pa.system_memory_pool())  # so that trim() covers what Arrow has freed
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -62,6 +65,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; Python workers live on between tasks."""
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the text of each piece stays near the limit (one row at least)."""
     for batch in batches:
@@ -73,6 +90,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
         cut = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), n], strict=True):
             yield batch.slice(a, b - a)
+            trim()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -124,7 +142,7 @@ class RangeHash:
 class Names(dict):
     """word -> index of its 64-bit hash. Call fresh() between chunks: it keeps the table within its bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         self.bound, self.hashes, self.array = bound, [], np.zeros(0, U64)
 
     def __missing__(self, word: bytes) -> int:
@@ -264,7 +282,7 @@ class Marks:
 def _packed(parts: int):
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
-        for b in pieces(batches):
+        for b in pieces(batches, limit=2 * CHUNK_BYTES):
             body, doc_ids = texts(b), ids(b)
             uids = np.array([uid(i, t) for i, t in zip(doc_ids, body, strict=True)], U64).view(np.int64)
             rest = b.column("rest") if "rest" in b.schema.names else None
@@ -333,5 +351,7 @@ def grouped(rows: Iterator[tuple], limit: int = CHUNK_BYTES) -> Iterator[list[tu
         if size >= limit:
             yield out
             out, size = [], 0
+            trim()
     if out:
         yield out
+    trim()

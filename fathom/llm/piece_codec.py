@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from . import _common as C
 from . import piece_bpe
 
-BOUND = 150_000
+BOUND = 100_000
 
 
 class UnitCodes(dict):

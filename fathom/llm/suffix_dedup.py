@@ -36,7 +36,7 @@ from .disk_queue import DiskQueue
 
 U64 = np.uint64
 LENGTH, LEVELS = 400, 4
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 TUPLE = np.dtype([("prefix", U64), ("stretch", U64), ("uid", np.int64), ("start", np.uint32), ("count", np.uint16), ("lead", np.uint16)])
 _BYTES = C.mix(np.arange(256, dtype=U64) + U64(0xC2B2AE3D27D4EB4F))
 
@@ -205,7 +205,7 @@ def _stretches(parts: int, length: int):
     return run
 
 
-def _compared(parts: int, length: int, at_once: int = 2_000_000):
+def _compared(parts: int, length: int, at_once: int = 300_000):
     """Windows of stretches with a common prefix that two stretches have -> ranges of window starts."""
 
     def run(batches):

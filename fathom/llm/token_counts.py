@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from . import _common as C
 from . import piece_bpe
 
-BOUND = 300_000  # units remembered between chunks, as memory allows
+BOUND = 200_000  # units remembered between chunks, as memory allows
 LIMIT = 4096
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,16 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs.select(*COLUMNS))
 
 
-def _readable(batches):
-    for b in batches:
-        at = b.schema.names.index("kept")
-        text = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
-        yield b.set_column(at, "text", text)
-
-
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup(docs, keep_bytes=True, carry=("lang", "source")).select("doc_id", "kept", "lang", "source")
-    return _documents(cut.mapInArrow(_readable, "doc_id long, text string, lang string, source string"))
+    return _documents(suffix_dedup(docs, keep="text", carry=("lang", "source")).withColumnRenamed("kept", "text"))
 
 
 def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

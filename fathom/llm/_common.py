@@ -44,6 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's defaults, for whole texts: they are held by the JVM and by Python at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder: lineage ends there and survives lost executors."""
     shared_dir(df.sparkSession)
@@ -53,6 +61,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def fan_out(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions for a shuffle of df's text: the session's number, or more where the input is larger."""
     spark = df.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     try:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

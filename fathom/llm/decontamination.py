@@ -73,32 +73,38 @@ class Windows:
                     yield s, n, found
 
 
+def _marked(w: Windows, b: pa.RecordBatch) -> tuple[list[list[bytes]], list, list]:
+    """(words, hits, items) of the documents of a batch with a block's hits added: a byte for each word, or null, and sets."""
+    get = w.vocabulary.get
+    split = [words(t) for t in C.texts(b)]
+    hits, items = ((b.column(c).to_pylist() for c in ("__hit", "__items")) if "__hit" in b.schema.names else ([None] * len(split), [None] * len(split)))
+    size = np.array([len(x) for x in split], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size + 1)))
+    flat = np.zeros(int(begin[-1]), np.int64)
+    for x, a in zip(split, begin.tolist(), strict=False):
+        flat[a : a + len(x)] = np.fromiter(map(get, x, repeat(0)), np.int64, len(x))
+    marked: dict[int, np.ndarray] = {}
+    for s, n, found in w.hits(flat):
+        d = int(np.searchsorted(begin, s, "right")) - 1
+        if d not in marked:
+            marked[d] = np.frombuffer(hits[d], np.uint8).copy() if hits[d] else np.zeros(size[d], np.uint8)
+            items[d] = set(items[d] or ())
+        marked[d][s - begin[d] : s - begin[d] + n] = 1
+        items[d] |= found
+    for d, m in marked.items():
+        hits[d] = m.tobytes()
+    return split, hits, items
+
+
 def _pass(block):
-    """Adds a block's hits to each document: hit (one byte for each word, or null) and items."""
+    """Adds a block's hits to each document, for a further pass."""
 
     def run(batches):
-        w: Windows = block.value
-        get = w.vocabulary.get
         for b in C.pieces(batches):
-            split = [words(t) for t in C.texts(b)]
-            hits, items = b.column("__hit").to_pylist(), b.column("__items").to_pylist()
-            size = np.array([len(x) for x in split], np.int64)
-            begin = np.concatenate(([0], np.cumsum(size + 1)))
-            flat = np.zeros(int(begin[-1]), np.int64)
-            for x, a in zip(split, begin.tolist(), strict=False):
-                flat[a : a + len(x)] = np.fromiter(map(get, x, repeat(0)), np.int64, len(x))
-            marked: dict[int, np.ndarray] = {}
-            for s, n, found in w.hits(flat):
-                d = int(np.searchsorted(begin, s, "right")) - 1
-                if d not in marked:
-                    marked[d] = np.frombuffer(hits[d], np.uint8).copy() if hits[d] else np.zeros(size[d], np.uint8)
-                    items[d] = set(items[d] or ())
-                marked[d][s - begin[d] : s - begin[d] + n] = 1
-                items[d] |= found
-            for d, m in marked.items():
-                hits[d] = m.tobytes()
+            _, hits, items = _marked(block.value, b)
             found = [pa.array(hits, pa.binary()), pa.array([sorted(x) if x else None for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *found], names=b.schema.names)
+            own = [k for k, n in enumerate(b.schema.names) if n not in ("__hit", "__items")]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), *found], names=[*(b.schema.names[k] for k in own), "__hit", "__items"])
 
     return run
 
@@ -114,17 +120,18 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _digest(clean: bool):
+def _digest(block, clean: bool):
+    """The last pass: adds a block's hits and gives each document's row."""
     kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "clean_text": pa.string()}
 
     def run(batches):
         for b in C.pieces(batches):
             out = []
-            body = C.texts(b)
-            for i, t, hit, items in zip(C.ids(b), body, b.column("__hit").to_pylist(), b.column("__items").to_pylist(), strict=True):
+            split, hits, sets = _marked(block.value, b)
+            for i, t, w, hit, items in zip(C.ids(b), C.texts(b), split, hits, sets, strict=True):
                 n = hit.count(1) if hit else 0
-                items = items or []
-                row = [i, len(words(t)), n, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n > 0]
+                items = sorted(items or ())
+                row = [i, len(w), n, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n > 0]
                 out.append([*row, without(t, np.frombuffer(hit, np.uint8).astype(np.int8)).decode() if n else t.decode()] if clean else row)
             arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=False)]
             names = [*kinds][: len(arrays)]
@@ -159,16 +166,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     item, or all its words where it has fewer; a document word inside any occurrence of a window is hit.
     On request also clean_text, the text without the stretches hit, and the columns of docs named in ``carry``.
     """
+    C.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = C.carried(docs, list(carry))
-    out = docs.select("*", F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__items"))
+    out = docs
     passing = C.schema_of(docs, "doc_id long, text string") + ", __hit binary, __items array<string>"
     blocks = _blocks(benchmark, block_bytes)
-    for block in blocks:
-        table = Windows([(r.item, r.text.encode()) for r in block.collect()], window)  # bounded by block_bytes
-        if table.exact:
-            out = out.mapInArrow(_pass(spark.sparkContext.broadcast(table)), passing)
-            out = C.checkpointed(out) if len(blocks) > 1 else out
+    tables = (Windows([(r.item, r.text.encode()) for r in block.collect()], window) for block in blocks)  # each bounded by block_bytes
+    last = next(tables, Windows([]))
+    for table in tables:
+        out = C.checkpointed(out.mapInArrow(_pass(spark.sparkContext.broadcast(last)), passing))
+        last = table
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * clean
-    out = out.mapInArrow(_digest(clean), C.schema_of(docs, schema))
+    out = out.mapInArrow(_digest(spark.sparkContext.broadcast(last), clean), C.schema_of(docs, schema))
     return out.select("*", *[F.col("rest").getField(c).alias(c) for c in carry]).drop("rest") if carry else out

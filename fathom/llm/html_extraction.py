@@ -348,30 +348,43 @@ def _written(held: dict[str, dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(_pruned(w)) for w in held.values()])], names=["host", "wrapper"])
 
 
-def _whole(batches):
-    """Partial wrappers, ordered by host -> one for each host."""
-    key, now = None, None
-    for b in batches:
-        out: dict[str, dict] = {}
-        for h, w in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-            w = json.loads(w)
-            if h == key:
-                _merge(now, w)
-                _pruned(now)
-            else:
-                if now is not None:
-                    out[key] = now
-                key, now = h, w
-        if out:
-            yield _written(out)
-    if now is not None:
-        yield _written({key: now})
+def _whole(write):
+    """Partial wrappers, ordered by host -> what is to be written of one for each host."""
+
+    def run(batches):
+        key, now = None, None
+        for b in batches:
+            out: dict[str, dict] = {}
+            for h, w in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
+                w = json.loads(w)
+                if h == key:
+                    _merge(now, w)
+                    _pruned(now)
+                else:
+                    if now is not None:
+                        out[key] = now
+                    key, now = h, w
+            if out:
+                yield write(out)
+        if now is not None:
+            yield write({key: now})
+
+    return run
+
+
+def _parts(pages: DataFrame) -> DataFrame:
+    parts = pages.select("url", "html").mapInArrow(_partial, "host string, wrapper string")
+    return parts.repartition(C.fan_out(pages), "host").sortWithinPartitions("host")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) of every host."""
-    parts = pages.select("url", "html").mapInArrow(_partial, "host string, wrapper string")
-    return parts.repartition(C.fan_out(pages), "host").sortWithinPartitions("host").mapInArrow(_whole, "host string, wrapper string")
+    return _parts(pages).mapInArrow(_whole(_written), "host string, wrapper string")
+
+
+def _regions(held: dict[str, dict]) -> pa.RecordBatch:
+    path = {h: p for h, w in held.items() if (p := region(w))}
+    return pa.RecordBatch.from_arrays([pa.array(list(path), pa.string()), pa.array([json.dumps(p) for p in path.values()], pa.string())], names=["host", "region"])
 
 
 def _extracted(regions):
@@ -385,12 +398,6 @@ def _extracted(regions):
     return run
 
 
-def _regions(batches):
-    for b in batches:
-        path = [region(json.loads(w)) for w in b.column("wrapper").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([json.dumps(p) if p else None for p in path], pa.string())], names=["host", "region"])
-
-
 def _with_host(batches):
     for b in batches:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host(u) for u in b.column("url").to_pylist()], pa.string())], names=[*b.schema.names, "host"])
@@ -402,8 +409,9 @@ def html_extraction(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     pages needs page_id, url and html.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    C.small_batches(pages.sparkSession)
     # hosts whose article elements say where the text is need no entry
-    found = C.checkpointed(wrappers(pages).mapInArrow(_regions, "host string, region string").where("region is not null"))
+    found = C.checkpointed(_parts(pages).mapInArrow(_whole(_regions), "host string, region string"))
     size = found.agg(F.sum(F.length("host") + F.length("region") + 100)).first()[0] or 0
     schema = "page_id long, url string, text string, n_chars long"
     if size <= broadcast_bytes:

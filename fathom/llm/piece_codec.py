@@ -79,5 +79,6 @@ def _run(path: str, full: bool):
 
 def encode_decode(docs: DataFrame, path: str | None = None, full: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with full, also ids and decoded."""
+    C.small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     return docs.select("doc_id", "text").mapInArrow(_run(path or piece_bpe.default_path(), full), schema)

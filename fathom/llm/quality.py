@@ -226,6 +226,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; labels needs doc_id and quality (1 good, 0 bad).
     """
+    C.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean"
     return docs.select("doc_id", "text").mapInArrow(_judge(model), schema)
@@ -233,5 +234,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
+    C.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     return docs.mapInArrow(_keep(model), docs.schema)

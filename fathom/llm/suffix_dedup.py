@@ -268,8 +268,8 @@ def removed_bytes(n: int, marks: dict[int, list[np.ndarray]], length: int = LENG
     return np.cumsum(change[:n]) > 0
 
 
-def _apply(length: int, with_text: bool, rest: pa.DataType | None):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+def _apply(length: int, keep: str, rest: pa.DataType | None):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
@@ -283,7 +283,7 @@ def _apply(length: int, with_text: bool, rest: pa.DataType | None):
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 row = [doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest()]
-                out.append([*row, kept] if with_text else row)
+                out.append([*row, kept.decode("utf-8", "ignore") if keep == "text" else kept] if keep else row)
             arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)]
             own = names[: len(arrays)]
             if rest is not None:
@@ -294,12 +294,13 @@ def _apply(length: int, with_text: bool, rest: pa.DataType | None):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False, carry: tuple[str, ...] = (), memory: int = 64 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep: str = "", carry: tuple[str, ...] = (), memory: int = 64 << 20) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     docs needs doc_id and text. A byte goes if a string of ``length`` bytes covers it that also starts
-    anywhere else, in this document or another. On request also kept (the remaining bytes, which need not be
-    whole characters) and the columns of docs named in ``carry``. ``memory`` bounds what a shard's queue
+    anywhere else, in this document or another. With keep="bytes" also kept, the remaining bytes, which need
+    not be whole characters; with keep="text" as text, without characters that lost a byte. Columns of docs
+    named in ``carry`` come along. ``memory`` bounds what a shard's queue
     holds before it goes to disk.
     """
     docs = C.carried(docs, list(carry))
@@ -310,7 +311,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False
     edges, full = found.where(f"kind = {C.EDGES}"), found.where(f"kind <> {C.EDGES}")
     stretches = C.routed(plain, edges, n).mapInArrow(_stretches(n, length), C.ROUTED)
     more = stretches.repartitionById(n, part).mapInArrow(_compared(n, length), C.ROUTED)
-    schema = C.schema_of(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    schema = C.schema_of(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {"": "", "bytes": ", kept binary", "text": ", kept string"}[keep])
     rest = to_arrow_type(docs.schema["rest"].dataType) if carry else None
-    out = C.routed(docs, full.unionByName(more), n).mapInArrow(_apply(length, keep_bytes, rest), schema)
+    out = C.routed(docs, full.unionByName(more), n).mapInArrow(_apply(length, keep, rest), schema)
     return out.select("*", *[F.col("rest").getField(c).alias(c) for c in carry]).drop("rest") if carry else out

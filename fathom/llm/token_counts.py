@@ -70,5 +70,6 @@ def _count(path: str, limit: int):
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens)."""
+    C.small_batches(docs.sparkSession)
     path = path or piece_bpe.default_path()
     return docs.select("doc_id", "text").mapInArrow(_count(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

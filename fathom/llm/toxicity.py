@@ -170,6 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (crc32 of doc_id as text, modulo 5, not 0) are read for learning; a doc_id with both labels is toxic.
     A null doc_id is held out.
     """
+    C.small_batches(docs.sparkSession)
     toxic, ordinary = sample(docs, labels)
     toxic.sort(), ordinary.sort()
     model = docs.sparkSession.sparkContext.broadcast(fit(toxic, ordinary))

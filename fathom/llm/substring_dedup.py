@@ -8,8 +8,9 @@ each window one interior symbol is chosen by its content alone, and only windows
 two documents can repeat. Those windows are named by 80 bits and meet by name; the smallest doc_id of each
 name decides.
 
-Of the interior symbols of three words or more the one with the least hash is chosen, so neighbouring windows
-mostly choose the same.
+Of the interior symbols, rather of four words or more, else of three, the one with the least hash is chosen, so
+neighbouring windows mostly choose the same. Runs are named in the first round only: to be a run, or none, is a
+matter of both neighbours, and asking it of every round would leave too few symbols that a window determines.
 
 Shuffles, all of packed rows: the chosen symbols, the candidate windows, and the texts twice, with what was found
 about them. Copies within a chunk are folded before the first one.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 U64 = np.uint64
-WINDOW, ROUNDS = 13, 4
-LEAST = 3  # words in a chosen symbol; windows without one are named whole
+WINDOW, ROUNDS = 13, 3
+LEAST, GOOD = 3, 4  # words in a chosen symbol, at least and rather; windows without one are named whole
 
 
 def recompress(sym: np.ndarray, rounds: int = ROUNDS):
@@ -40,16 +41,17 @@ def recompress(sym: np.ndarray, rounds: int = ROUNDS):
     st, en = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
     dl, dr = st.copy(), en.copy()
     for r in range(rounds):
-        first = np.flatnonzero(np.concatenate(([True], sym[1:] != sym[:-1])))
-        last = np.concatenate((first[1:], [len(sym)])) - 1
-        size = last - first + 1
-        name = sym[first]
-        long = size > 1
-        if long.any():
-            name = np.where(long, C.mix(name * U64(0xA0761D6478BD642F) + size.astype(U64)), name)
-        left, right = np.maximum(first - 1, 0), np.minimum(last + 1, len(sym) - 1)
-        st, en, dl, dr = st[first], en[last], dl[left], dr[right]
-        sym = name
+        if r == 0:
+            first = np.flatnonzero(np.concatenate(([True], sym[1:] != sym[:-1])))
+            last = np.concatenate((first[1:], [len(sym)])) - 1
+            size = last - first + 1
+            name = sym[first]
+            long = size > 1
+            if long.any():
+                name = np.where(long, C.mix(name * U64(0xA0761D6478BD642F) + size.astype(U64)), name)
+            left, right = np.maximum(first - 1, 0), np.minimum(last + 1, len(sym) - 1)
+            st, en, dl, dr = st[first], en[last], dl[left], dr[right]
+            sym = name
         side = C.mix(sym + U64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1)) & U64(1) == 0
         pair = np.zeros(len(sym), bool)
         pair[:-1] = side[:-1] & ~side[1:]
@@ -75,7 +77,8 @@ def anchors(sym: np.ndarray, starts: np.ndarray, window: int = WINDOW):
         ok = (en - st >= LEAST) & (dr - dl <= window)
         if not ok.any():
             continue
-        name, st, dl, dr = C.mix(name[ok]), st[ok], dl[ok], dr[ok]
+        short = (en - st < GOOD)[ok].astype(U64) << U64(63)
+        name, st, dl, dr = C.mix(name[ok]) >> U64(1) | short, st[ok], dl[ok], dr[ok]
         # neither dl nor dr falls from one symbol to the next: those inside a window are neighbours
         below, upto = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
         np.cumsum(np.bincount(dl, minlength=n)[:n], out=below[1:])
@@ -169,23 +172,23 @@ def _shared(parts: int):
                     yield C.rows_of([p], [kind], [data])
                     continue
                 name, own, times, step, count = C.unpack(data)
-                got.append((name, np.repeat(own, times), C.positions(times, step).astype(np.uint32), count.astype(np.uint32)))
+                got.append((np.full(len(name), p, np.uint32), name, np.repeat(own, times), C.positions(times, step).astype(np.uint32), count.astype(np.uint32)))
         if not got:
             return
-        name, uid, s, count = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.argsort(name, kind="stable")
-        name, uid, s, count = name[order], uid[order], s[order], count[order]
-        first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+        part, name, uid, s, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((name, part))
+        part, name, uid, s, count = part[order], name[order], uid[order], s[order], count[order]
+        first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (name[1:] != name[:-1]))))
         several = np.minimum.reduceat(uid, first) != np.maximum.reduceat(uid, first)
         keep = np.repeat(several, np.diff(np.concatenate((first, [len(name)]))))
         if keep.any():
-            yield C.rows_of(*C.marks(C.RANGES, parts, uid[keep], s[keep], C.small(count[keep])))
+            yield C.rows_of(*C.marks(C.RANGES, parts, uid[keep], s[keep], C.small(count[keep]), C.small(part[keep])))
 
     return run
 
 
 def _candidates(parts: int, window: int):
-    """Names of the windows that may repeat, dealt out by name."""
+    """Names of the windows that may repeat, back to the parts of their symbols."""
 
     def run(batches):
         names = C.Names()
@@ -194,20 +197,21 @@ def _candidates(parts: int, window: int):
             out = C.marks(C.WHOLE, parts, np.array([r[0] for r in rows if C.WHOLE in r[3]], np.int64))
             rows = [r for r in rows if C.WHOLE not in r[3]]
             sym, begin, _ = _flat([r[2].split() for r in rows], names)
-            picked, doc = [], []
+            picked, doc, back = [], [], []
             for k, r in enumerate(rows):
-                a, n = r[3][C.RANGES]
+                a, n, p = r[3][C.RANGES]
                 a, n = a.astype(np.int64), n.astype(np.int64)
                 s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                s.sort()
-                picked.append(s + begin[k])
+                order = np.argsort(s)
+                picked.append(s[order] + begin[k])
+                back.append(np.repeat(p, n)[order])
                 doc.append(np.full(len(s), k))
             if picked:
                 s, d = np.concatenate(picked), np.concatenate(doc)
                 one, two = _window_names(sym, s, window)
                 uid = np.array([r[0] for r in rows], np.int64)
                 key = np.array([C.NO_ID if r[1] is None else r[1] for r in rows], np.int64)
-                for p, sel in C.by_part((two >> U64(32)) % U64(parts), parts):
+                for p, sel in C.by_part(np.concatenate(back), parts):
                     used, times, step = C.steps(d[sel], (s - begin[d])[sel])
                     out[0].append(p)
                     out[1].append(C.OTHER)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import ship
+
 
 def frequency(ny: int, nx: int) -> np.ndarray:
     """Radius of each coefficient of a real transform, in cycles per pixel."""
@@ -112,6 +114,7 @@ def project(volume: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 
 def per_image(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], pixels: str = "pixels", shape: tuple[str, str] = ("ny", "nx")) -> DataFrame:
     """The table with a kernel applied to its images; images of one size in a batch go together, as (n, ny, nx)."""
+    ship(df.sparkSession)
     kind = to_arrow_type(df.schema[pixels].dataType)
 
     def run(batches):

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def weights(x: np.ndarray, refs: np.ndarray, share: np.ndarray, sigma2: float) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each class, log-likelihood) of each row."""
@@ -43,6 +45,7 @@ def _sums(vector: str, model):
 
 def classify(df: DataFrame, vector: str, k: int, iterations: int, seed: int = 0) -> tuple[np.ndarray, list[float]]:
     """(references, log-likelihood before each iteration). Starts from k rows chosen by hash."""
+    ship(df.sparkSession)
     start = df.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(vector, F.lit(seed))).limit(k).collect()
     refs = np.array([r[0] for r in start], float)
     share, sigma2, history = np.full(k, 1 / k), 1.0, []

@@ -1,4 +1,8 @@
-"""Session defaults."""
+"""Session defaults, and the package on the executors."""
+
+import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -11,3 +15,19 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return b.config(map=conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fathom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="fathom-"), "fathom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.join("fathom", os.path.relpath(os.path.join(folder, n), root)))
+    sc.addPyFile(path)
+    sc._fathom_shipped = True

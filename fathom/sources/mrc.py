@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 # Pixel types by mode.
 MODES = {0: "i1", 1: "i2", 2: "f4", 6: "u2", 12: "f2"}
 
@@ -39,6 +41,7 @@ def encode(stack: np.ndarray, pixel: float = 1.0) -> bytes:
 
 def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, section from 1, ny, nx, pixels) of all images of MRC files, also of bz2 and xz ones."""
+    ship(spark)
 
     def run(batches):
         for b in batches:

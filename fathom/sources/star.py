@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import ship
+
 TOKEN = re.compile(r"\s*(?:\"((?:[^\"]|\"(?=\S))*)\"(?=\s|$)|'((?:[^']|'(?=\S))*)'(?=\s|$)|(#.*)|(\S+))")
 
 
@@ -83,6 +85,7 @@ def read_star(spark: SparkSession, paths: str | list[str], table: str | None = N
 
     Labels are those of the first file unless given. Files are read whole, each by one task.
     """
+    ship(spark)
     types = types or {}
     raw = spark.read.text(paths, wholetext=True).select("value", "_metadata.file_path")
     if labels is None:

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any other
 
@@ -45,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's defaults, for whole texts: they are held by the JVM and by Python at once."""
+    """Readies a session: this package on the executors, and smaller Arrow batches than Spark's defaults, since whole
+    texts are held by the JVM and by Python at once."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = spark.conf.get(key, None)
         if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:

@@ -35,12 +35,15 @@ HOSTS = 5000  # partial wrappers held by a task at once
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?=[/a-zA-Z][^<>]*\Z)[^<>]*\Z", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "option", "button", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}  # what they hold is no markup
+CLOSED = {k: re.compile(f"</{k}(?=[\\s/>])[^>]*>?", re.I) for k in RAW}
+ALONE = {"button", "select", "noscript", "datalist"}  # left out, and never inside themselves
+TAGS = {k: re.compile(f"<(/?){k}(?=[\\s/>])", re.I) for k in [*sorted(ALONE), "template", "svg", "math", "object", "canvas", "audio", "video"]}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ASIDE = {*ALONE, "template", "svg", "math", "object", "canvas", "audio", "video", "nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
     "gdpr", "header", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "respond", "share", "sharing",
@@ -69,11 +72,19 @@ def _label(name: str, rest: str) -> tuple[str, bool]:
     return ".".join([name, *words]), name in ASIDE or (name not in ("body", "html", *REGION) and not ASIDE_WORDS.isdisjoint(words))
 
 
+def _is_closed(page: str, name: str, at: int) -> bool:
+    """Whether an element to be left out that starts before ``at`` has an end; without one only its tag is passed over."""
+    if name not in TAGS:
+        return True
+    tags = TAGS[name].finditer(page, at)
+    return any(m.group(1) for m in tags) if name not in ALONE else bool((m := next(tags, None)) and m.group(1))
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; scripts, styles and other raw elements are left out, references are decoded."""
+    """The tree of a page; what scripts, styles and other raw elements hold is left out, references are decoded."""
     root = Node("page", False)
     stack = [root]
-    at, raw, pending = 0, "", ""
+    at = 0
 
     def text(to: int) -> None:
         if to > at:
@@ -84,19 +95,20 @@ def parse(page: str) -> Node:
             else:
                 kids.append(s)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         close, name = m.group(1), (m.group(2) or "").lower()
-        if raw:
-            if close and name == raw:
-                raw, at = "", m.end()
-            continue
         text(m.start())
         at = m.end()
         if not name:
             continue
         if not close:
             if name in RAW:
-                raw = "" if m.group(3).endswith("/") and name in ("svg", "math") else name
+                if m.group(3).endswith("/") and any(n.label.partition(".")[0] in ("svg", "math") for n in stack):
+                    continue
+                if end := CLOSED[name].search(page, at):
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(page)
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
@@ -111,15 +123,16 @@ def parse(page: str) -> Node:
             if name in CLOSES_P:
                 _close(stack, "p", ("article", "main", "div", "section", "td", "li", "body"))
             for same in SAME.get(name, ()):
-                _close(stack, same, ("ul", "ol", "dl", "table"))
+                _close(stack, same, ("ul", "ol", "dl", "table", "select", "datalist"))
+            if not _is_closed(page, name, at) or m.group(3).endswith("/") and name in ("svg", "math"):
+                continue
             label, aside = _label(name, m.group(3))
             node = Node(label, aside)
             stack[-1].kids.append(node)
             stack.append(node)
         elif name not in VOID and name not in RAW:
             _close(stack, name, ())
-    if not raw:
-        text(len(page))
+    text(len(page))
     return root
 
 

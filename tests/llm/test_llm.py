@@ -310,6 +310,16 @@ def test_html_region_from_the_host_s_wrapper(spark):
     assert "(<form>" in e and "</>)?" in e and "(<p>#text</>)+" in e
 
 
+def test_html_scripts_and_unclosed_elements():
+    text = html_extraction.main_text
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<script>var a='<!--'</SCRIPT >", "<style>a:after{content:'<b'}</style>", "<textarea>a<b</textarea>", "<svg><title/></svg>", "<select><option>x<option>y</select>", "<button>b<i>c</i></button>"):
+        assert text(f"<body>{raw}<article>one{raw}<p>two</article>") == "one two", raw
+    for tag in ("button", "svg", "object", "noscript", "title", "select", "template"):
+        assert text(f"<article>one<{tag}><p>two</article>") == "one two", tag
+    assert text("<article>one <button>two<p>three<button>x</button> four</article>") == "one two three four"
+    assert text("<article>one</article><script>x<y") == "one"
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -28,6 +28,7 @@ from . import _common as C
 U64 = np.uint64
 SHINGLE, SEED, BITS = 3, 42, 3
 TILE, LARGE = 2048, 8192
+KEY = "__row_key"
 _ODD = U64(0x5555555555555555)
 
 
@@ -54,7 +55,8 @@ def fingerprint(text: bytes) -> bytes:
 def _fingerprints(batches):
     for b in C.pieces(batches):
         marks = [int.from_bytes(fingerprint(t), "big", signed=True) for t in C.texts(b)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "mark"])
+        keys = [k for k in b.schema.names if k == KEY]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(marks, pa.int64()), *map(b.column, keys)], names=["doc_id", "mark", *keys])
 
 
 def embed(marks: np.ndarray) -> np.ndarray:
@@ -209,6 +211,17 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _grouped(marks: DataFrame, n: int, bits: int) -> DataFrame:
+    """(mark, component_id, root) of each different fingerprint of marks (doc_id, mark)."""
+    different = C.checkpointed(marks.groupBy("mark").agg(F.min("doc_id").alias("least")))
+    choices = masks(blocks_for(different.count(), bits), bits)
+    cells = different.select("mark").mapInArrow(_cells(n, choices), "part int, data binary").repartition(n, "part")
+    found = components(cells.mapInArrow(_links(bits), "a long, b long"))
+    rooted = different.join(found, different.mark == found.node, "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(groups, "root").select("mark", "component_id", "root")
+
+
 def simhash_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -218,17 +231,20 @@ def simhash_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     n = C.fan_out(docs)
     marks = C.checkpointed(docs.mapInArrow(_fingerprints, "doc_id long, mark long"))
-    different = C.checkpointed(marks.groupBy("mark").agg(F.min("doc_id").alias("least")))
-    choices = masks(blocks_for(different.count(), bits), bits)
-    cells = different.select("mark").mapInArrow(_cells(n, choices), "part int, data binary").repartition(n, "part")
-    found = components(cells.mapInArrow(_links(bits), "a long, b long"))
-    rooted = different.join(found, different.mark == found.node, "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(groups, "root").select("mark", "component_id")
+    named = _grouped(marks, n, bits)
     return marks.join(named, "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs with one document of each group, the one with the smallest doc_id; rows without a doc_id stay."""
-    kept = simhash_dedup(docs, bits).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """docs with exactly one row of each group, the one with the smallest doc_id; null ids come last.
+
+    Rows are told apart by a key of doc_id and text. Rows that share it are copies of one group, of which one stays;
+    so a repeated doc_id, in one group or in several, keeps no further row.
+    """
+    n = C.fan_out(docs.select("doc_id", "text"))
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    marks = C.checkpointed(keyed.select("doc_id", "text", KEY).mapInArrow(_fingerprints, f"doc_id long, mark long, {KEY} long"))
+    named = _grouped(marks.select("doc_id", "mark"), n, bits)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first")
+    kept = marks.join(named, "mark").groupBy("root").agg(first).select(f"first.{KEY}").distinct()
+    return keyed.dropDuplicates([KEY]).join(kept, KEY, "left_semi").select(*docs.columns)

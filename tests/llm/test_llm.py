@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -286,6 +287,20 @@ def test_license_rules(spark):
     assert all(re.search(license_scan.SIGNS, s) for s in license_scan.SENTENCES)
 
 
+def test_license_signs_and_blank_lines(spark):
+    grant, notice, bsd, source, binary, isc = (next(s for s, k in license_scan.SENTENCES.items() if k == name) for name in ("mit_grant", "mit_notice", "bsd_conditions", "bsd_source", "bsd_binary", "isc_grant"))
+    wrap = lambda s, end="\n": textwrap.fill(s, 60).replace("\n", end)
+    free = next(s for s, k in license_scan.SENTENCES.items() if k == "unlicense")
+    rows = [
+        (1, "All rights\nreserved."), (2, "x\nAll  rights-reserved"), (3, free.replace("public domain", "public\ndomain")), (4, "All rights\n\nreserved"),
+        (5, f"Copyright (c) 2020 X\n\n{wrap(grant)}:\n\n{wrap(notice)}.\n"), (6, f"Copyright (c) 2020 X\r\n{wrap(grant, chr(13) + chr(10))}:\r\n\r\n{wrap(notice, chr(13) + chr(10))}."),
+        (7, f"Some Heading\n \n{wrap(bsd)}:\n\n1. {wrap(source)}.\n2. {wrap(binary)}."), (8, f"# Copyright (c) 2020 X\n#\n# {wrap(isc, chr(10) + '# ')}.\n"), (9, "rights of man reserved"),
+    ]
+    got = {r.doc_id: set(r.licenses.split(",")) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert all(got[k] == {"all-rights-reserved"} for k in (1, 2, 4)) and got[3] == {"Unlicense"} and got[9] == {""}
+    assert "MIT" in got[5] & got[6] and "BSD-2-Clause" in got[7] and "ISC" in got[8]
+
+
 def test_license_plan_is_native(spark, sf_dir):
     plan = queries.op3_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -329,6 +344,18 @@ def test_empty_tables(spark):
     assert html_extraction.html_extraction(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_one_of_each_keeps_one_row_of_each_group(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120)) for _ in range(4))
+    rows = [(5, a), (5, a), (7, a), (None, a), (5, b), (9, b), (None, c), (None, c), (8, d), (3, d + " "), (3, d), (3, d), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in near.collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (None, c), (3, d), (None, "")], key=str)
+    left = {r.text.strip() for r in corpus_pipeline.substring_removal(spark, near, "").collect()}
+    assert left == {a, b, c, d, ""}  # nothing of a kept document repeats
+
+
 def test_pipeline(spark, sf_dir):
     docs = C.documents(spark, sf_dir)
     texts = {}

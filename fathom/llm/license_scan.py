@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is normalised as a whole: ASCII letters lower-cased, sentence ends turned into line breaks, everything else
-that is no letter or digit into one space. It is cut into sentences twice, once at line breaks as well and
-once with lines joined, since licence texts are wrapped. Sentences that are known become identifiers, others
+that is no letter or digit into one space. It is cut into sentences three times: at line breaks as well, with all
+lines joined, and with lines joined but for blank lines and copyright lines, since licence texts are wrapped and
+headings have no full stop. Sentences that are known become identifiers, others
 fall away, and the sequence of identifiers is matched against rules in order: a rule that matches takes its
 identifiers, so that a more specific rule keeps a less specific one from matching them.
 
@@ -63,6 +64,11 @@ SENTENCES = {
 }
 # Every known sentence holds one of these.
 SIGNS = "licen|copyright|rights reserved|redistribut|free software|warrant|public domain|liable|permission"
+# The same in texts that are not normalised yet.
+RAW_SIGNS = SIGNS.replace(" ", "[^a-z0-9]+")
+_BREAK = r"(?:\r?\n|\r(?!\n))"
+BLANK = _BREAK + r"(?:[ \t\p{Punct}]*" + _BREAK + ")+"
+NOTICE = r"(?:\A|(?<=[\n\r]))([^a-z0-9\n\r]*copyright[^a-z0-9\n\r]+(?:c[^a-z0-9\n\r]+)?[12][0-9]{3}[^\n\r]*)"
 
 # (licence, sequence of identifiers as a pattern), more specific ones first. Sequences are written " id id id ".
 RULES = [
@@ -112,13 +118,15 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def normal(x: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, END, "\n"), "[^a-z0-9\n]+", " "), " ?\n ?", "\n")
 
-    maybe = low.rlike(SIGNS)
+    maybe = low.rlike(RAW_SIGNS)
+    ended = F.regexp_replace(F.regexp_replace(low, NOTICE, "$1. "), BLANK, ". ")
     cut = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(maybe, _sequence(F.trim(normal(low)), known)).otherwise("").alias("s1"),
         F.when(maybe, _sequence(F.trim(normal(F.regexp_replace(low, "[\\n\\r]+", " "))), known)).otherwise("").alias("s2"),
+        F.when(maybe & low.rlike(f"{BLANK}|{NOTICE}"), _sequence(F.trim(normal(F.regexp_replace(ended, "[\\n\\r]+", " "))), known)).otherwise("").alias("s3"),
     )
-    names = F.array_sort(F.array_distinct(F.concat(_rules(F.col("s1")), _rules(F.col("s2")))))
+    names = F.array_sort(F.array_distinct(F.concat(*[_rules(F.col(s)) for s in ("s1", "s2", "s3")])))
     return cut.select(
         "doc_id",
         F.size(F.filter(F.split("s1", " +"), lambda x: x != "")).cast("long").alias("n_sentences"),

@@ -9,8 +9,8 @@ slots hold, and whether that text differs between pages.
 
 The host's wrapper says where the article is: an article or main element if pages have one, else the node whose
 own slots vary and hold the most text. A page's main text is what stands in that region, less menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments, known by element or by a word of class
-or id. A page without the region gives all text outside such parts.
+footers, sidebars, notices, adverts, forms, scripts, styles and comments, known by element or by the whole name of a
+class or id; names that articles use as well count only where the part is mostly links. A page without the region gives all text outside such parts.
 
 Wrappers are bounded in size (NODES); together they are broadcast only if they fit in BROADCAST_BYTES, else joined
 by host. A null html is empty, a null url is a host of its own. Broken markup is read as far as it goes.
@@ -38,38 +38,84 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}  # what they hold is no markup
 CLOSED = {k: re.compile(f"</{k}(?=[\\s/>])[^>]*>?", re.I) for k in RAW}
 ALONE = {"button", "select", "noscript", "datalist"}  # left out, and never inside themselves
-TAGS = {k: re.compile(f"<(/?){k}(?=[\\s/>])", re.I) for k in [*sorted(ALONE), "template", "svg", "math", "object", "canvas", "audio", "video"]}
+TAGS = {k: re.compile(f"<(/?){k}(?=[\\s/>])", re.I) for k in [*sorted(ALONE), "template"]}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ASIDE = {*ALONE, "template", "svg", "math", "object", "canvas", "audio", "video", "nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
+ASIDE = {*ALONE, "template", "nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
     "gdpr", "header", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "respond", "share", "sharing",
     "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "contentinfo", "search",
 }
+# Words that name a part to be left out by themselves; the others also name parts of articles, so that the page or its host has to confirm them.
+SURE = ASIDE_WORDS - {"banner", "comment", "complementary", "header", "menu", "notice", "notices", "promo", "related", "respond", "search", "share", "social", "sponsor", "widget"}
+# Words that may stand beside those of ASIDE_WORDS in a name; PREFIXES only make a name to be confirmed.
+AFFIXES = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "desktop", "fixed", "form", "global", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "primary", "region", "right", "secondary", "side", "site", "slot", "sticky", "sub", "top", "unit", "wrap", "wrapper"}
+PREFIXES = {"article", "blog", "entry", "post"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 REGION = ("article", "main")
 
 
 class Node:
-    """An element of a page: label, children in order (nodes and texts)."""
+    """An element of a page: label, children in order (nodes and texts), characters of its own texts that are links.
 
-    __slots__ = ("label", "kids", "aside")
+    aside: 0, or to be left out: 1 by a word of its class or id that needs to be confirmed, 2 by a sure one, 3 by element.
+    """
+
+    __slots__ = ("label", "kids", "aside", "linked", "weak")
+
+    def __init__(self, label: str, aside: int):
+        self.label, self.kids, self.aside, self.linked, self.weak = label, [], aside, 0, aside == 1
 
-    def __init__(self, label: str, aside: bool):
-        self.label, self.kids, self.aside = label, [], aside
 
+def _named_aside(parts: list[str], role: bool) -> int:
+    """How surely a class, id or role names a part to be left out: its words are known ones, or known beside them."""
+    whole = "".join(parts)
+    if role or whole in ASIDE_WORDS:
+        return (2 if role or whole in SURE else 1) if whole in ASIDE_WORDS else 0
+    rest = [w for w in parts if w not in ASIDE_WORDS]
+    if len(rest) == len(parts) or any(w not in AFFIXES and w not in PREFIXES for w in rest):
+        return 0
+    return 2 if PREFIXES.isdisjoint(rest) and any(w in SURE for w in parts) else 1
 
-def _label(name: str, rest: str) -> tuple[str, bool]:
+
+def _label(name: str, rest: str) -> tuple[str, int]:
     words: list[str] = []
+    aside = 3 if name in ASIDE else 0
+    plain = name in HEADINGS or name in ("body", "html", *REGION)  # never left out for a name
     if rest and "=" in rest:
-        for _, *values in NAMED.findall(rest):
+        for kind, *values in NAMED.findall(rest):
             for value in next((v for v in values if v), "").split():
-                parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+                parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
                 words += parts if len(parts) < 2 else [*parts, "".join(parts)]
-    words = sorted({w for w in words if w})
-    return ".".join([name, *words]), name in ASIDE or (name not in ("body", "html", *REGION) and not ASIDE_WORDS.isdisjoint(words))
+                if parts and not plain:
+                    aside = max(aside, _named_aside(parts, kind.lower() == "role"))
+    return ".".join([name, *sorted(set(words))]), aside
+
+
+def _settle(root: Node) -> None:
+    """Decides on the parts known by name: one that needs to be confirmed is left out if it is mostly links; one that
+    holds most of the page, as a form around all of it does, is kept."""
+
+    def walk(node: Node) -> tuple[int, int, bool]:
+        size, linked, article = 0, node.linked, node.label.partition(".")[0] in ("article", "main", "h1")
+        for k in node.kids:
+            if isinstance(k, str):
+                size += len(k.strip())
+            else:
+                n, m, has = walk(k)
+                size, linked, article = size + n, linked + m, article or has
+        if node.aside in (1, 2) or node.label.partition(".")[0] == "form":
+            held.append((node, size, linked, article))
+        return size, linked, article
+
+    held: list[tuple[Node, int, int, bool]] = []
+    total = walk(root)[0]
+    for node, size, linked, article in held:
+        if node.aside == 1 and 2 * linked <= size or 2 * size > total and (node.aside != 2 or article):
+            node.aside = 0
 
 
 def _is_closed(page: str, name: str, at: int) -> bool:
@@ -82,14 +128,16 @@ def _is_closed(page: str, name: str, at: int) -> bool:
 
 def parse(page: str) -> Node:
     """The tree of a page; what scripts, styles and other raw elements hold is left out, references are decoded."""
-    root = Node("page", False)
+    root = Node("page", 0)
     stack = [root]
-    at = 0
+    at, link = 0, False
 
     def text(to: int) -> None:
         if to > at:
             s = html.unescape(page[at:to])
             kids = stack[-1].kids
+            if link:
+                stack[-1].linked += len(s.strip())
             if kids and isinstance(kids[-1], str):
                 kids[-1] += s
             else:
@@ -101,6 +149,8 @@ def parse(page: str) -> Node:
         at = m.end()
         if not name:
             continue
+        if name == "a":
+            link = not close and "href" in m.group(3).lower()
         if not close:
             if name in RAW:
                 if m.group(3).endswith("/") and any(n.label.partition(".")[0] in ("svg", "math") for n in stack):
@@ -117,7 +167,7 @@ def parse(page: str) -> Node:
             if name in INLINE:
                 label, aside = _label(name, m.group(3))
                 if aside:  # inline markup counts as structure only where it is to be left out
-                    stack.append(Node(label, True))
+                    stack.append(Node(label, aside))
                     stack[-2].kids.append(stack[-1])
                 continue
             if name in CLOSES_P:
@@ -133,6 +183,7 @@ def parse(page: str) -> Node:
         elif name not in VOID and name not in RAW:
             _close(stack, name, ())
     text(len(page))
+    _settle(root)
     return root
 
 
@@ -148,13 +199,13 @@ def _close(stack: list[Node], name: str, stop: tuple[str, ...]) -> None:
 
 # --- wrappers ----------------------------------------------------------------------------------------------
 # A wrapper node: {"l": label, "n": pages, "t": characters in own slots, "h": hash of the text, or None if it
-# differs between pages, "o": optional, "r": repeated, "k": children}
+# differs between pages, "a": left out, "o": optional, "r": repeated, "k": children}
 
 
 def wrapper(node: Node) -> dict:
     """The wrapper of one page: neighbours with the same label are folded into a repeated group."""
     own = " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
-    out = {"l": node.label, "n": 1, "t": len(own), "h": own, "o": False, "r": False, "k": []}
+    out = {"l": node.label, "n": 1, "t": len(own), "h": own, "a": bool(node.aside), "o": False, "r": False, "k": []}
     for kid in node.kids:
         if isinstance(kid, str):
             continue
@@ -173,6 +224,7 @@ def _merge(a: dict, b: dict) -> None:
     """Aligns wrapper b with a: matched children merge, others become optional."""
     a["t"] += b["t"]
     a["h"] = a["h"] if a["h"] == b["h"] else None
+    a["a"] &= b["a"]
     a["o"] |= b["o"]
     a["r"] |= b["r"]
     pages_a, pages_b = a["n"], b["n"]
@@ -261,7 +313,7 @@ def region(w: dict | None) -> list[str] | None:
     def walk(node: dict, path: list[str]) -> tuple[int, bool]:
         nonlocal best, found
         name, _, words = node["l"].partition(".")
-        if name in ASIDE or not ASIDE_WORDS.isdisjoint(words.split(".")) and name not in ("body", "html", *REGION):
+        if node["a"]:
             return 0, False
         if name in REGION or words == name == "main":
             found = True
@@ -288,9 +340,10 @@ def _collect(node: Node, out: list[str], inside: bool) -> None:
         if isinstance(k, str):
             out.append(k)
         elif not k.aside or (inside and k.label.partition(".")[0] == "header" and _has_title(k)):
-            out.append("\n")
+            gap = "" if k.label.partition(".")[0] in INLINE else "\n"
+            out.append(gap)
             _collect(k, out, inside)
-            out.append("\n")
+            out.append(gap)
 
 
 def _has_title(node: Node) -> bool:

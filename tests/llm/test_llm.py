@@ -335,6 +335,17 @@ def test_html_scripts_and_unclosed_elements():
     assert text("<article>one</article><script>x<y") == "one"
 
 
+def test_html_names_that_articles_use():
+    text = html_extraction.main_text
+    for attr in ('class="content no-sidebar"', "class=has-header", 'class="with-sidebar"', "class=sidebar-right", "id=header-wrap"):
+        assert text(f"<div {attr}><article><h1>T</h1><p>one two three</article></div><nav>x</nav>") == "T one two three", attr
+    assert text("<div class=article-header><h1>T</h1></div><h2 id=related-work>R</h2><h2 id=search-methods>S</h2><h3 id=banner-ads class=header>B</h3><section class=social-science>s</section>".join(("<article>", "</article>"))) == "T R S B s"
+    assert text("<article>a <math><mi>x</mi></math> <audio>b</audio> <object>c</object> d<span class=notice>e</span>f</article>") == "a x b c def"
+    assert text("<form id=all><article>one two</article><div class=related><a href=x>more</a></div></form>") == "one two"
+    for attr in ("class=sidebar", "class=cookie_notice", "id=topMenu", "class='post-related'", "role=search", "class=ad-box"):
+        assert text(f"<article>one two three<div {attr}><a href=x>m</a></div></article>") == "one two three", attr
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

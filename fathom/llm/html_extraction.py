@@ -7,10 +7,13 @@ in the same way, so partial wrappers of partitions are merged into one for each
 pages is no larger a job than others. A wrapper records for each node how many pages have it, how much text its
 slots hold, and whether that text differs between pages.
 
-The host's wrapper says where the article is: an article or main element if pages have one, else the node whose
-own slots vary and hold the most text. A page's main text is what stands in that region, less menus, headers,
+The host's wrapper says where the article is, for each shape of its pages: the nodes that hold nearly all of the
+text that varies and is no link, article and main elements being a hint only. A page takes the one of these regions
+that holds the most of its own text. Its main text is what stands there, less parts that are the same on all pages
+that have them, menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments, known by element or by the whole name of a
-class or id; names that articles use as well count only where the part is mostly links. A page without the region gives all text outside such parts.
+class or id; names that articles use as well count only where the part is mostly links or the
+same on other pages. A page that fits no region of its host, or has no other page beside it, is its own wrapper.
 
 Wrappers are bounded in size (NODES); together they are broadcast only if they fit in BROADCAST_BYTES, else joined
 by host. A null html is empty, a null url is a host of its own. Broken markup is read as far as it goes.
@@ -21,15 +24,18 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
 
-NODES = 400  # of a wrapper; further kinds of nodes do not change where the article is
+NODES = 400  # of a wrapper; nodes that hold much of the text are kept first, and the text of others counts for their parents
+SHAPES = 8  # regions of a host
 BROADCAST_BYTES = 16 << 20
 HOSTS = 5000  # partial wrappers held by a task at once
 
@@ -56,6 +62,7 @@ AFFIXES = {"area", "bar", "block", "bottom", "box", "button", "buttons", "contai
 PREFIXES = {"article", "blog", "entry", "post"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 REGION = ("article", "main")
+LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "table", "tbody", "tr", "td", "figure", "dl", "dd", "dt"}
 
 
 class Node:
@@ -198,14 +205,15 @@ def _close(stack: list[Node], name: str, stop: tuple[str, ...]) -> None:
 
 
 # --- wrappers ----------------------------------------------------------------------------------------------
-# A wrapper node: {"l": label, "n": pages, "t": characters in own slots, "h": hash of the text, or None if it
-# differs between pages, "a": left out, "o": optional, "r": repeated, "k": children}
+# A wrapper node: {"l": label, "n": pages, "t": characters in own slots that are no links, "h": hash of the text, or None if it
+# differs between pages, "a": left out, "o": optional, "r": repeated, "c": children were
+# pruned, "k": children}
 
 
 def wrapper(node: Node) -> dict:
     """The wrapper of one page: neighbours with the same label are folded into a repeated group."""
     own = " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
-    out = {"l": node.label, "n": 1, "t": len(own), "h": own, "a": bool(node.aside), "o": False, "r": False, "k": []}
+    out = {"l": node.label, "n": 1, "t": max(0, len(own) - node.linked), "h": own if len(own) <= 64 else xxhash.xxh3_64_hexdigest(own), "a": bool(node.aside), "o": False, "r": False, "c": False, "k": []}
     for kid in node.kids:
         if isinstance(kid, str):
             continue
@@ -227,6 +235,7 @@ def _merge(a: dict, b: dict) -> None:
     a["a"] &= b["a"]
     a["o"] |= b["o"]
     a["r"] |= b["r"]
+    a["c"] |= b["c"]
     pages_a, pages_b = a["n"], b["n"]
     a["n"] += b["n"]
     kids: list[dict] = []
@@ -280,15 +289,39 @@ def _aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return out + [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
 
 
+def _mass(w: dict) -> dict[int, int]:
+    """Characters below each node, by id, that may be an article's: they vary between pages, if there are several."""
+    out: dict[int, int] = {}
+    one = w["n"] < 2
+
+    def walk(node: dict) -> int:
+        if node["a"]:
+            return 0
+        own = node["t"] if one or node["h"] is None or node["r"] else 0
+        out[id(node)] = own = own + sum(map(walk, node["k"]))
+        return own
+
+    walk(w)
+    return out
+
+
+def _text(w: dict) -> int:
+    return 0 if w["a"] else w["t"] + sum(map(_text, w["k"]))
+
+
 def _pruned(w: dict, most: int = NODES) -> dict:
-    """The wrapper with its most frequent nodes, breadth first, texts as hashes."""
+    """The wrapper with its nodes of most text and then its most frequent ones, breadth first."""
     level, left = [w], most
+    mass = _mass(w)
+    much = mass.get(id(w), 0) / 20
     while level:
         nxt = []
         for node in level:
-            if isinstance(node["h"], str):
-                node["h"] = node["h"][:64]
-            keep = sorted(range(len(node["k"])), key=lambda i: -node["k"][i]["n"])[: max(left, 0)]
+            keep = sorted(range(len(node["k"])), key=lambda i: (mass.get(id(node["k"][i]), 0) <= much, -node["k"][i]["n"]))[: max(left, 0)]
+            rest = set(range(len(node["k"]))) - set(keep)
+            node["c"] |= bool(rest)
+            if lost := sum(_text(node["k"][i]) for i in rest):
+                node["t"], node["h"] = node["t"] + lost, None
             node["k"] = [node["k"][i] for i in sorted(keep)]
             left -= len(keep)
             nxt += node["k"]
@@ -303,33 +336,82 @@ def expression(w: dict) -> str:
     return f"({one})" + ("*" if w["o"] and w["r"] else "+" if w["r"] else "?") if w["o"] or w["r"] else one
 
 
-def region(w: dict | None) -> list[str] | None:
-    """Labels on the way from the root to the node that holds the article; None: wherever an article or main element is."""
+def _code(path: list[str]) -> int:
+    return zlib.crc32(" ".join(path).encode())
+
+
+def _fixed(w: dict) -> tuple[list[int], list[int]]:
+    """Codes of the ways to nodes whose text is the same on all pages that have them: (parts outside of article and main
+    elements, on three pages at least; any part, on two at least)."""
+    parts: dict[int, bool] = {}
+    same: dict[int, bool] = {}
+
+    def walk(node: dict, path: list[str], inside: bool, cut: bool) -> tuple[bool, bool]:
+        name = node["l"].partition(".")[0]
+        inside |= name in REGION
+        kids = [walk(k, [*path, k["l"]], inside, cut or node["c"]) for k in node["k"]]
+        fixed = not cut and not node["c"] and node["h"] is not None and all(f for f, _ in kids)  # what was pruned may have varied
+        full = bool(node["h"]) or any(t for _, t in kids)
+        code = _code(path)
+        same[code] = same.get(code, True) and fixed and full and node["n"] > 1
+        parts[code] = parts.get(code, True) and fixed and full and node["n"] > 2 and not inside and (name not in LEAVES or name in ("ul", "ol", "table"))
+        return fixed, full
+
+    walk(w, [], False, False)
+    return [c for c, ok in parts.items() if ok], [c for c, ok in same.items() if ok]
+
+
+def region(w: dict | None) -> dict | None:
+    """Where the article is: "paths", labels on the way from the root to it, one for each shape of pages; "parts" and
+    "same", codes of the parts that do not vary. None where nothing varies."""
     if w is None:
         return None
-    best: tuple[float, list[str]] = (0, [])
-    found = False
-
-    def walk(node: dict, path: list[str]) -> tuple[int, bool]:
-        nonlocal best, found
-        name, _, words = node["l"].partition(".")
-        if node["a"]:
-            return 0, False
-        if name in REGION or words == name == "main":
-            found = True
-        own = node["t"] if node["h"] is None or node["r"] else 0
-        blocks = 0
-        for k in node["k"]:
-            t, leaf = walk(k, [*path, k["l"]])
-            if leaf:
-                blocks += t
-        if own + blocks > best[0]:
-            best = (own + blocks, path)
-        leaf = name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "table", "tbody", "tr", "td", "figure", "dl", "dd", "dt")
-        return own + blocks, leaf
-
-    walk(w, [])
-    return None if found or not best[0] else best[1]
+    mass = _mass(w)
+    total = mass.get(id(w), 0)
+    if not total:
+        return None
+    pages: dict[int, int] = {}
+
+    def count(node: dict, most: int) -> bool:
+        pages[id(node)] = n = min(node["n"], most)
+        name = node["l"].partition(".")[0]
+        title[id(node)] = any([count(k, n) for k in node["k"]]) or name == "h1"
+        return title[id(node)] and not node["a"]
+
+    title: dict[int, bool] = {}
+    count(w, w["n"])
+    paths: list[list[str]] = []
+    while len(paths) < SHAPES and pages[id(w)] > 0 and mass[id(w)] > total / 50:
+        node, way = w, [w]
+        while True:
+            each = mass[id(node)] / max(1, pages[id(node)])
+            inside = _is_region(node)
+            best = None
+            for k in node["k"]:
+                m = mass.get(id(k), 0)
+                hint = _is_region(k)
+                if not m or k["l"].partition(".")[0] in LEAVES or inside and not hint:
+                    continue
+                share = m / max(1, pages[id(k)]) / each
+                lone = not any(title[id(x)] and x is not k and not x["a"] and not x["o"] for x in node["k"])
+                if share >= (0.5 if hint else 0.8) and (hint or lone) and (best is None or (hint, m) > best[0]):
+                    best = (hint, m), k
+            if best is None:
+                break
+            node = best[1]
+            way.append(node)
+        paths.append([x["l"] for x in way[1:]])
+        m, n = mass[id(node)], pages[id(node)]
+        for x in way:
+            mass[id(x)] -= m
+            pages[id(x)] -= n
+    parts, same = _fixed(w) if w["n"] > 1 else ([], [])
+    return {"paths": paths, "parts": parts, "same": same}
+
+
+def _is_region(node: dict) -> bool:
+    name, _, words = node["l"].partition(".")
+    return name in REGION or words == "main"
 
 
 # --- extraction --------------------------------------------------------------------------------------------
@@ -350,32 +432,47 @@ def _has_title(node: Node) -> bool:
     return any(not isinstance(k, str) and (k.label.partition(".")[0] == "h1" or _has_title(k)) for k in node.kids)
 
 
-def _named(node: Node, names: tuple[str, ...]) -> list[Node]:
-    """The outermost nodes with such a name that stand in no part to be left out."""
-    out = []
-    for k in node.kids:
-        if not isinstance(k, str) and not k.aside:
-            out += [k] if k.label.partition(".")[0] in names or ".main" in k.label and "role" in names else _named(k, names)
-    return out
-
-
 def _at(node: Node, path: list[str]) -> list[Node]:
     if not path:
         return [node]
     return [x for k in node.kids if not isinstance(k, str) and k.label == path[0] for x in _at(k, path[1:])]
 
 
-def main_text(page: str | None, path: list[str] | None = None) -> str:
+def _size(node: Node) -> int:
+    """Characters that are no links, in no part to be left out."""
+    return max(0, sum(len(k.strip()) for k in node.kids if isinstance(k, str)) - node.linked) + sum(_size(k) for k in node.kids if not isinstance(k, str) and not k.aside)
+
+
+def _mark(node: Node, path: list[str], parts: set[int], same: set[int]) -> None:
+    """Leaves out what does not vary on the host."""
+    for k in node.kids:
+        if not isinstance(k, str) and not k.aside:
+            way = [*path, k.label]
+            code = _code(way)
+            if code in parts or k.weak and code in same:
+                k.aside = 3
+            else:
+                _mark(k, way, parts, same)
+
+
+def main_text(page: str | None, known: dict | None = None) -> str:
     """Main text of a page, given its host's region()."""
     if not page:
         return ""
     root = parse(page)
-    found = _named(root, ("article",)) or _named(root, ("main",))
-    inside = bool(found)
-    if not found and path:
-        found = _at(root, path)
-    if not found:
-        found = _named(root, ("body",)) or [root]
+    if known and (known["parts"] or known["same"]):
+        _mark(root, [], set(known["parts"]), set(known["same"]))
+    whole = _size(root)
+    path, found, most = [], [], 0
+    for p in known["paths"] if known else ():
+        nodes = [x for x in _at(root, p) if not x.aside]
+        if (size := sum(map(_size, nodes))) > most:
+            path, found, most = p, nodes, size
+    if not found or 2 * most < whole:  # another shape than the host's: the page is its own wrapper
+        own = region(wrapper(root))
+        path = own["paths"][0] if own else []
+        found = [x for x in _at(root, path) if not x.aside]
+    inside = bool(path) and path[-1].partition(".")[0] not in ("html", "body")
     out: list[str] = []
     for node in found:
         _collect(node, out, inside)
@@ -449,7 +546,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _regions(held: dict[str, dict]) -> pa.RecordBatch:
-    path = {h: p for h, w in held.items() if (p := region(w))}
+    path = {h: p for h, w in held.items() if w["n"] > 1 and (p := region(w))}
     return pa.RecordBatch.from_arrays([pa.array(list(path), pa.string()), pa.array([json.dumps(p) for p in path.values()], pa.string())], names=["host", "region"])
 
 
@@ -476,7 +573,7 @@ def html_extraction(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     C.small_batches(pages.sparkSession)
-    # hosts whose article elements say where the text is need no entry
+    # hosts of one page need no entry: the page is its own wrapper
     found = C.checkpointed(_parts(pages).mapInArrow(_whole(_regions), "host string, region string"))
     size = found.agg(F.sum(F.length("host") + F.length("region") + 100)).first()[0] or 0
     schema = "page_id long, url string, text string, n_chars long"

@@ -346,6 +346,28 @@ def test_html_names_that_articles_use():
         assert text(f"<article>one two three<div {attr}><a href=x>m</a></div></article>") == "one two three", attr
 
 
+def test_html_regions_of_a_host_with_several_shapes():
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    frame_ = "<body><div class=masthead>The Daily Thing, since 1900, for all</div>{}<div class=blurb><p>Words that stand on every page of this host.</p></div></body>"
+    want, pages = [], []
+    for k in range(8):
+        a, b = words(60), words(40)
+        want.append(f"T{k} {a} {b}")
+        text = f"<h1>T{k}</h1><p>{a}</p><section><p>{b}</p></section>"
+        body = f"<div class=story>{text}</div>" if k else f"<article>{text}</article>"
+        pages.append(frame_.format(body + (f"<div class=deck><article><a href=x>{words(4)}</a></article></div>" if k == 3 else "")))
+    w = None
+    for p in pages:
+        one = html_extraction.wrapper(html_extraction.parse(p))
+        w = one if w is None else (html_extraction._merge(w, one), html_extraction._pruned(w))[1]
+    known = html_extraction.region(w)
+    assert [html_extraction.main_text(p, known) for p in pages] == want
+    other = words(50)
+    assert html_extraction.main_text(frame_.format(f"<div class=odd>{other}</div>"), known) == other
+    assert html_extraction.main_text(frame_.format(f"<div class=one>{other}</div><div class=two>{words(9)}</div>").replace("blurb", "x"), None).startswith("The Daily")
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

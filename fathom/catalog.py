@@ -253,6 +253,12 @@ def covariance(s, d):
     return c.select("i", "j", F.round("cov", 6).alias("cov"))
 
 
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) WHERE b.i >= a.i GROUP BY 1, 2""")
+def covariance_whole(s, d):
+    return A.covariance(table(s, d, "embeddings"), "embedding").select("i", "j", F.round("cov", 6).alias("cov"))
+
+
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)
 SELECT round(sqrt(pow(i // 8, 2) + pow(i % 8, 2)))::BIGINT AS shell, round(avg(x), 6) AS mean, count(*) AS n FROM v GROUP BY 1""")
 def shell_average(s, d):

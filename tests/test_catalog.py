@@ -34,3 +34,9 @@ def test_query(name, spark, duck, sf_dir):
     want = duck.sql(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_covariance_of_all_places(spark, sf_dir):
+    places = len(spark.read.parquet(f"{sf_dir}/embeddings.parquet").first().embedding)
+    pairs = {(r.i, r.j) for r in catalog.QUERIES["covariance_whole"](spark, sf_dir).collect()}
+    assert pairs == {(i, j) for i in range(places) for j in range(i, places)}

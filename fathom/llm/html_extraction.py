@@ -15,8 +15,11 @@ footers, sidebars, notices, adverts, forms, scripts, styles and comments, known
 class or id; names that articles use as well count only where the part is mostly links or the
 same on other pages. A page that fits no region of its host, or has no other page beside it, is its own wrapper.
 
-Wrappers are bounded in size (NODES); together they are broadcast only if they fit in BROADCAST_BYTES, else joined
-by host. A null html is empty, a null url is a host of its own. Broken markup is read as far as it goes.
+A wrapper ends at paragraphs, lists, tables and the like and at parts to be left out, and names of more than a few
+words (those of single pages) are no part of a label, so that it is as large as the host's templates and nothing of it
+is pruned. Elements more than DEPTH deep are read as part of the one at that depth, as browsers do; their text stays.
+Regions are broadcast only if they fit in BROADCAST_BYTES, else joined by host. A null html is empty, a null url is
+a host of its own. Broken markup is read as far as it goes.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-NODES = 400  # of a wrapper; nodes that hold much of the text are kept first, and the text of others counts for their parents
-SHAPES = 8  # regions of a host
+DEPTH = 200  # elements inside each other
+NAME_WORDS = 3  # of a class or id that is part of a label; longer ones are made for single pages
 BROADCAST_BYTES = 16 << 20
 HOSTS = 5000  # partial wrappers held by a task at once
 
@@ -47,6 +50,7 @@ ALONE = {"button", "select", "noscript", "datalist"}  # left out, and never insi
 TAGS = {k: re.compile(f"<(/?){k}(?=[\\s/>])", re.I) for k in [*sorted(ALONE), "template"]}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+UNBROKEN = {*INLINE, *ALONE, "template", "head"}  # what stands before and after these is one block
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ASIDE = {*ALONE, "template", "nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
@@ -71,10 +75,12 @@ class Node:
     aside: 0, or to be left out: 1 by a word of its class or id that needs to be confirmed, 2 by a sure one, 3 by element.
     """
 
-    __slots__ = ("label", "kids", "aside", "linked", "weak")
+    __slots__ = ("label", "kids", "aside", "linked", "weak", "home")
 
-    def __init__(self, label: str, aside: int):
-        self.label, self.kids, self.aside, self.linked, self.weak = label, [], aside, 0, aside == 1
+    def __init__(self, label: str, aside: int, home: "Node | None" = None):
+        """An element that is too deep has a home, the one that its text is read as part of."""
+        self.label, self.kids, self.aside, self.linked, self.weak = label, [] if home is None else home.kids, aside, 0, aside == 1
+        self.home = home or self
 
 
 def _named_aside(parts: list[str], role: bool) -> int:
@@ -96,7 +102,8 @@ def _label(name: str, rest: str) -> tuple[str, int]:
         for kind, *values in NAMED.findall(rest):
             for value in next((v for v in values if v), "").split():
                 parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
-                words += parts if len(parts) < 2 else [*parts, "".join(parts)]
+                if len(parts) <= NAME_WORDS:
+                    words += parts if len(parts) < 2 else [*parts, "".join(parts)]
                 if parts and not plain:
                     aside = max(aside, _named_aside(parts, kind.lower() == "role"))
     return ".".join([name, *sorted(set(words))]), aside
@@ -144,12 +151,16 @@ def parse(page: str) -> Node:
             s = html.unescape(page[at:to])
             kids = stack[-1].kids
             if link:
-                stack[-1].linked += len(s.strip())
+                stack[-1].home.linked += len(s.strip())
             if kids and isinstance(kids[-1], str):
                 kids[-1] += s
             else:
                 kids.append(s)
 
+    def opened(node: Node) -> None:
+        stack[-1].kids.append(node)
+        stack.append(node)
+
     while m := TOKEN.search(page, at):
         close, name = m.group(1), (m.group(2) or "").lower()
         text(m.start())
@@ -174,8 +185,7 @@ def parse(page: str) -> Node:
             if name in INLINE:
                 label, aside = _label(name, m.group(3))
                 if aside:  # inline markup counts as structure only where it is to be left out
-                    stack.append(Node(label, aside))
-                    stack[-2].kids.append(stack[-1])
+                    opened(Node(label, aside))
                 continue
             if name in CLOSES_P:
                 _close(stack, "p", ("article", "main", "div", "section", "td", "li", "body"))
@@ -184,9 +194,11 @@ def parse(page: str) -> Node:
             if not _is_closed(page, name, at) or m.group(3).endswith("/") and name in ("svg", "math"):
                 continue
             label, aside = _label(name, m.group(3))
-            node = Node(label, aside)
-            stack[-1].kids.append(node)
-            stack.append(node)
+            if len(stack) < DEPTH or aside and stack[-1].home.aside == 0:
+                opened(Node(label, aside))
+            else:
+                stack[-1].kids.append("\n")
+                stack.append(Node(label, 0, stack[-1].home))
         elif name not in VOID and name not in RAW:
             _close(stack, name, ())
     text(len(page))
@@ -198,6 +210,8 @@ def _close(stack: list[Node], name: str, stop: tuple[str, ...]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         own = stack[k].label.partition(".")[0]
         if own == name:
+            if stack[k].home is not stack[k]:
+                stack[k].kids.append("\n")
             del stack[k:]
             return
         if own in stop:
@@ -206,15 +220,21 @@ def _close(stack: list[Node], name: str, stop: tuple[str, ...]) -> None:
 
 # --- wrappers ----------------------------------------------------------------------------------------------
 # A wrapper node: {"l": label, "n": pages, "t": characters in own slots that are no links, "h": hash of the text, or None if it
-# differs between pages, "a": left out, "o": optional, "r": repeated, "c": children were
-# pruned, "k": children}
+# differs between pages, "a": left out, "o": optional, "r": repeated, "k": children}
 
 
 def wrapper(node: Node) -> dict:
     """The wrapper of one page: neighbours with the same label are folded into a repeated group."""
-    own = " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
-    out = {"l": node.label, "n": 1, "t": max(0, len(own) - node.linked), "h": own if len(own) <= 64 else xxhash.xxh3_64_hexdigest(own), "a": bool(node.aside), "o": False, "r": False, "c": False, "k": []}
-    for kid in node.kids:
+    leaf = node.aside or node.label.partition(".")[0] in LEAVES
+    if leaf:
+        inner: list[str] = []
+        _collect(node, inner, False)
+        own, size = " ".join("".join(inner).split()), _size(node)
+    else:
+        own = " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
+        size = max(0, len(own) - node.linked)
+    out = {"l": node.label, "n": 1, "t": size, "h": own if len(own) <= 64 else xxhash.xxh3_64_hexdigest(own), "a": bool(node.aside), "o": False, "r": False, "k": []}
+    for kid in () if leaf else node.kids:
         if isinstance(kid, str):
             continue
         w = wrapper(kid)
@@ -235,7 +255,6 @@ def _merge(a: dict, b: dict) -> None:
     a["a"] &= b["a"]
     a["o"] |= b["o"]
     a["r"] |= b["r"]
-    a["c"] |= b["c"]
     pages_a, pages_b = a["n"], b["n"]
     a["n"] += b["n"]
     kids: list[dict] = []
@@ -272,21 +291,28 @@ def _aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
         tail += 1
     a, b = x[head : len(x) - tail], y[head : len(y) - tail]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out = [(k, k) for k in range(head)]
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((head + i, head + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    # Bit j of rows[i] is 0 where taking b[j] lengthens the longest common subsequence of a[:i] and b[:j].
+    where: dict[str, int] = {}
+    for j, label in enumerate(b):
+        where[label] = where.get(label, 0) | 1 << j
+    all_ = (1 << len(b)) - 1
+    rows = [all_]
+    for label in a:
+        v = rows[-1]
+        u = v & where.get(label, 0)
+        rows.append((v + u | v - u) & all_)
+    middle = []
+    i, j = len(a), len(b) - 1
+    while i and j >= 0:
+        if rows[i] >> j & 1:  # b[j] is not needed
+            j -= 1
+        elif not rows[i - 1] >> j & 1:  # nor is a[i - 1]
+            i -= 1
         else:
-            j += 1
-    return out + [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
+            i -= 1
+            middle.append((head + i, head + j))
+            j -= 1
+    return [*((k, k) for k in range(head)), *reversed(middle), *((len(x) - tail + k, len(y) - tail + k) for k in range(tail))]
 
 
 def _mass(w: dict) -> dict[int, int]:
@@ -305,30 +331,6 @@ def _mass(w: dict) -> dict[int, int]:
     return out
 
 
-def _text(w: dict) -> int:
-    return 0 if w["a"] else w["t"] + sum(map(_text, w["k"]))
-
-
-def _pruned(w: dict, most: int = NODES) -> dict:
-    """The wrapper with its nodes of most text and then its most frequent ones, breadth first."""
-    level, left = [w], most
-    mass = _mass(w)
-    much = mass.get(id(w), 0) / 20
-    while level:
-        nxt = []
-        for node in level:
-            keep = sorted(range(len(node["k"])), key=lambda i: (mass.get(id(node["k"][i]), 0) <= much, -node["k"][i]["n"]))[: max(left, 0)]
-            rest = set(range(len(node["k"]))) - set(keep)
-            node["c"] |= bool(rest)
-            if lost := sum(_text(node["k"][i]) for i in rest):
-                node["t"], node["h"] = node["t"] + lost, None
-            node["k"] = [node["k"][i] for i in sorted(keep)]
-            left -= len(keep)
-            nxt += node["k"]
-        level = nxt
-    return w
-
-
 def expression(w: dict) -> str:
     """The wrapper as a union-free regular expression of elements and text slots."""
     inner = ("#text " if w["h"] is None else "#fixed " if w["h"] else "") + " ".join(expression(k) for k in w["k"])
@@ -346,24 +348,25 @@ def _fixed(w: dict) -> tuple[list[int], list[int]]:
     parts: dict[int, bool] = {}
     same: dict[int, bool] = {}
 
-    def walk(node: dict, path: list[str], inside: bool, cut: bool) -> tuple[bool, bool]:
+    def walk(node: dict, path: list[str], inside: bool) -> tuple[bool, bool]:
         name = node["l"].partition(".")[0]
         inside |= name in REGION
-        kids = [walk(k, [*path, k["l"]], inside, cut or node["c"]) for k in node["k"]]
-        fixed = not cut and not node["c"] and node["h"] is not None and all(f for f, _ in kids)  # what was pruned may have varied
+        kids = [walk(k, [*path, k["l"]], inside) for k in node["k"]]
+        fixed = node["h"] is not None and all(f for f, _ in kids)
         full = bool(node["h"]) or any(t for _, t in kids)
         code = _code(path)
         same[code] = same.get(code, True) and fixed and full and node["n"] > 1
-        parts[code] = parts.get(code, True) and fixed and full and node["n"] > 2 and not inside and (name not in LEAVES or name in ("ul", "ol", "table"))
+        parts[code] = parts.get(code, True) and fixed and full and node["n"] > 2 and not inside and name not in LEAVES
         return fixed, full
 
-    walk(w, [], False, False)
+    walk(w, [], False)
     return [c for c, ok in parts.items() if ok], [c for c, ok in same.items() if ok]
 
 
-def region(w: dict | None) -> dict | None:
+def region(w: dict | None, hints: bool = True) -> dict | None:
     """Where the article is: "paths", labels on the way from the root to it, one for each shape of pages; "parts" and
-    "same", codes of the parts that do not vary. None where nothing varies."""
+    "same", codes of the parts that do not vary. None where nothing varies. Without ``hints``, article and main elements
+    count like others."""
     if w is None:
         return None
     mass = _mass(w)
@@ -381,15 +384,15 @@ def region(w: dict | None) -> dict | None:
     title: dict[int, bool] = {}
     count(w, w["n"])
     paths: list[list[str]] = []
-    while len(paths) < SHAPES and pages[id(w)] > 0 and mass[id(w)] > total / 50:
+    while pages[id(w)] > 0 and mass[id(w)] > total / 50:
         node, way = w, [w]
         while True:
             each = mass[id(node)] / max(1, pages[id(node)])
-            inside = _is_region(node)
+            inside = hints and _is_region(node)
             best = None
             for k in node["k"]:
                 m = mass.get(id(k), 0)
-                hint = _is_region(k)
+                hint = hints and _is_region(k)
                 if not m or k["l"].partition(".")[0] in LEAVES or inside and not hint:
                     continue
                 share = m / max(1, pages[id(k)]) / each
@@ -402,6 +405,9 @@ def region(w: dict | None) -> dict | None:
             way.append(node)
         paths.append([x["l"] for x in way[1:]])
         m, n = mass[id(node)], pages[id(node)]
+        if not m or paths[-1] in paths[:-1]:
+            paths.pop()
+            break
         for x in way:
             mass[id(x)] -= m
             pages[id(x)] -= n
@@ -426,6 +432,8 @@ def _collect(node: Node, out: list[str], inside: bool) -> None:
             out.append(gap)
             _collect(k, out, inside)
             out.append(gap)
+        elif k.label.partition(".")[0] not in UNBROKEN:
+            out.append("\n")
 
 
 def _has_title(node: Node) -> bool:
@@ -496,8 +504,6 @@ def _partial(batches):
                 w, key = wrapper(parse(h)), host(u)
                 if key in held:
                     _merge(held[key], w)
-                    if held[key]["n"] % 64 == 0:
-                        _pruned(held[key])
                 else:
                     held[key] = w
         if len(held) > HOSTS:
@@ -508,7 +514,7 @@ def _partial(batches):
 
 
 def _written(held: dict[str, dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(_pruned(w)) for w in held.values()])], names=["host", "wrapper"])
+    return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w) for w in held.values()])], names=["host", "wrapper"])
 
 
 def _whole(write):
@@ -522,7 +528,6 @@ def _whole(write):
                 w = json.loads(w)
                 if h == key:
                     _merge(now, w)
-                    _pruned(now)
                 else:
                     if now is not None:
                         out[key] = now

@@ -360,7 +360,7 @@ def test_html_regions_of_a_host_with_several_shapes():
     w = None
     for p in pages:
         one = html_extraction.wrapper(html_extraction.parse(p))
-        w = one if w is None else (html_extraction._merge(w, one), html_extraction._pruned(w))[1]
+        w = one if w is None else (html_extraction._merge(w, one), w)[1]
     known = html_extraction.region(w)
     assert [html_extraction.main_text(p, known) for p in pages] == want
     other = words(50)
@@ -368,6 +368,55 @@ def test_html_regions_of_a_host_with_several_shapes():
     assert html_extraction.main_text(frame_.format(f"<div class=one>{other}</div><div class=two>{words(9)}</div>").replace("blurb", "x"), None).startswith("The Daily")
 
 
+def test_html_deep_long_and_oddly_nested_pages():
+    text = html_extraction.main_text
+    deep = html_extraction.DEPTH * 20
+    assert text("<div>" * deep + "a<nav>n</nav>b" + "</div>" * deep + "c") == "a b c"
+    assert text("<article>" + "<div>x" * deep + "</div>y" * deep + "</article>") == " ".join(["x"] * deep + ["y"] * deep)
+    assert text("<datalist><option value=a><option value=b></datalist><p>real text") == "real text"
+    assert text("<article>one " + "<p>w</p><h2>v</h2>" * 20_000 + "</article>") == "one" + " w v" * 20_000
+    a = html_extraction.wrapper(html_extraction.parse("<article>" + "<p>w</p><h2>v</h2>" * 3000))
+    html_extraction._merge(a, html_extraction.wrapper(html_extraction.parse("<article>" + "<h2>v</h2><div>x</div><p>w</p>" * 2000)))
+    assert a["n"] == 2
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(500):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        got = html_extraction._aligned(x, y)
+        assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize("order", range(3))
+def test_html_labelled_pages_of_many_templates(spark, order):
+    """Pages made from templates without article elements or telling names: the wrapper alone has to find the text."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, want = [], {}
+    for h in range(6):
+        outer, inner, box = (f"{rng.choice('klmnop')}{rng.choice('qrstuv')}{x}" for x in "abc")
+        fixed, links = words(25), [words(2) for _ in range(12)]
+        for k in range(12):
+            title, blocks = words(4), [words(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+            kinds = [rng.choice(("p", "blockquote", "li", "pre")) for _ in blocks]
+            body = f"<h1>{title}</h1>" + "".join(f"<{t}>{b}</{t}>" for t, b in zip(kinds, blocks, strict=True))
+            top = "<div class=x1>" + "".join(f"<a href=/{i}>{x}</a> " for i, x in enumerate(links)) + "</div>"
+            ad = f"<div class={box}>{words(5)}</div>" if rng.random() < 0.5 else ""
+            rows.append((100 * h + k, f"http://h{h}.example/{k}", f"<body>{top}<div class={outer}>{ad}<div class={inner}>{body}</div></div><div class=x2><p>{fixed}</p></div></body>"))
+            want[100 * h + k] = " ".join([title, *blocks])
+    random.Random(order).shuffle(rows)
+    df = spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string").repartition(3)
+    got = html_extraction.html_extraction(df).collect()
+    assert len(got) == len(rows) + 2
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

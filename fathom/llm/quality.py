@@ -21,8 +21,8 @@ from . import _common as C
 
 U64 = np.uint64
 MAX_LABELLED = 20_000  # labelled rows at most, those with the smallest hash of doc_id
-TREES, ROWS, SEED = 200, 256, 42
-MARGIN = 1.0  # in robust units, see Verdict
+TREES, ROWS, SEED = 200, 512, 42
+MARGIN = 3.0  # in robust units, see Verdict
 LOSS = 0.002  # share of good labelled rows that the threshold may reject
 MIN_WORDS, REPEAT_PERCENT, SPAN = 10, 20, 5
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -93,14 +93,13 @@ def _usual(n: np.ndarray | float):
 class Forest:
     """Isolation trees as flat arrays; scores are 2 ** -(mean path / usual path).
 
-    Cuts are drawn from the range of a node's rows and MARGIN beyond it on both sides, so that a row unlike any
-    of them, even in a statistic in which they do not differ, leaves them at such a cut. ``weight`` says how
-    often each statistic is drawn.
+    Every split draws its statistic with equal chances. Cuts are drawn from the range of a node's rows and MARGIN
+    beyond it on both sides, so that a row unlike any of them, even in a statistic in which they do not differ,
+    leaves them at such a cut.
     """
 
-    def __init__(self, rows: np.ndarray, weight: np.ndarray, trees: int = TREES, size: int = ROWS, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, trees: int = TREES, size: int = ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.weight = weight / weight.sum()
         size = min(size, len(rows))
         self.depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
         nodes = 2 ** (self.depth + 1) - 1
@@ -115,7 +114,7 @@ class Forest:
         if depth == self.depth or len(rows) < 2:
             self.extra[t, node] = depth + float(_usual(len(rows)))
             return
-        f = int(rng.choice(len(self.weight), p=self.weight))
+        f = int(rng.integers(rows.shape[1]))
         cut = rng.uniform(rows[:, f].min() - MARGIN, rows[:, f].max() + MARGIN)
         self.feature[t, node], self.cut[t, node] = f, cut
         right = rows[:, f] >= cut
@@ -135,15 +134,6 @@ class Forest:
         return 2.0 ** -(total / len(self.feature) / self.usual)
 
 
-def _apart(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """For each statistic, the largest distance between the distributions of good and bad rows."""
-    out = np.zeros(good.shape[1])
-    for f in range(good.shape[1] if len(bad) else 0):
-        at = np.unique(np.concatenate((good[:, f], bad[:, f])))
-        out[f] = np.abs(np.searchsorted(np.sort(good[:, f]), at, "right") / len(good) - np.searchsorted(np.sort(bad[:, f]), at, "right") / len(bad)).max()
-    return out
-
-
 def _between(good: np.ndarray, bad: np.ndarray) -> float:
     """The threshold above which most bad scores lie and at most LOSS of the good ones, in the middle of its gap."""
     floors = [float(good.max()), float(np.quantile(good, 1 - LOSS))]
@@ -162,7 +152,7 @@ class Verdict:
         low, high = np.quantile(good, [0.01, 0.99], axis=0)
         self.scale = np.maximum(high - low, 1e-3)
         far_good, far_bad = self._far(good), self._far(bad)
-        self.forest = Forest(far_good, _apart(far_good, far_bad) ** 2 + 1e-3)
+        self.forest = Forest(far_good)
         self.threshold = _between(self.forest(far_good), self.forest(far_bad))
 
     def _far(self, rows: np.ndarray) -> np.ndarray:

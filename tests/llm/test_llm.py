@@ -252,6 +252,34 @@ def test_quality_base_counts(spark, sf_dir):
     same(quality.quality(frame(spark, rows), labels), want)
 
 
+def test_isolation_forest_by_hand():
+    """Scores against paths followed one row and one tree at a time."""
+    rng = np.random.default_rng(3)
+    rows = np.concatenate((rng.normal(size=(300, 4)), rng.normal(6, 1, (5, 4)), np.zeros((3, 4))))
+    f = quality.Forest(rows[:300], trees=20, size=64)
+    usual = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    scores = f(rows)
+    for k, row in enumerate(rows):
+        lengths = []
+        for t in range(20):
+            node = 0
+            while (at := f.feature[t, node]) >= 0:
+                node = 2 * node + (2 if row[at] >= f.cut[t, node] else 1)
+            lengths.append(f.extra[t, node])
+        assert scores[k] == pytest.approx(2 ** -(np.mean(lengths) / usual(64)))
+    drawn = np.bincount(f.feature[f.feature >= 0], minlength=4)
+    assert drawn.min() > 0.7 * drawn.mean()
+    assert scores[300:305].min() > np.quantile(scores[:300], 0.99)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (2, 0)], [(1, 1), (1, 0), (2, 1), (None, 1)]])
+def test_quality_with_few_labels(spark, labels):
+    rows = [(1, "one two three four five six seven eight nine ten eleven"), (2, None), (2, "a b c d e f g h i j k l"), (3, ""), (None, "x " * 50)]
+    got = quality.quality(frame(spark, rows), spark.createDataFrame([(*r, "z") for r in labels], "doc_id long, quality int, row string")).collect()
+    assert len(got) == 5 and all(r.kept is not None and not (r.base_failed and r.kept) for r in got)
+    assert sorted(r.n_words for r in got) == [0, 0, 11, 12, 50]
+
+
 def test_quality_tells_labelled_rows_apart(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -228,20 +228,89 @@ def positions(count: np.ndarray, step: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - step[first], count)
 
 
-def by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, positions) of each part that occurs."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[order], np.arange(n + 1))
-    for p in range(n):
-        if edge[p] < edge[p + 1]:
-            yield p, order[edge[p] : edge[p + 1]]
+    part = part[order]
+    edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for a, b in zip(edge, edge[1:], strict=False):
+        yield int(part[a]), order[a:b]
+
+
+class Seen:
+    """What a task met before, so that common keys are settled before the shuffle.
+
+    At most ``bound`` keys are held; beyond it those met once are forgotten, then all. What is forgotten is met as if
+    for the first time, which costs a few rows more and changes no result. Use only one of the three methods.
+    """
+
+    def __init__(self, bound: int = 400_000):
+        self.bound, self.keys, self.count, self.value = bound, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def before(self, keys: np.ndarray) -> np.ndarray:
+        """How often each of the keys was met before, here or in earlier calls."""
+        order, first, times, near, known = self._found(keys)
+        count = self._held(self.count, near, known, 0)
+        self._keep(keys[order[first]], near, known, count + times, count)
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.repeat(count - first, times) + np.arange(len(keys))
+        return out
+
+    def others(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """How often each of the keys was met before with another owner than the first one that it was met with."""
+        order, first, times, near, known = self._found(keys)
+        count = self._held(self.count, near, known, 0)
+        own = np.where(known, self._held(self.value, near, known, 0), owner[order[first]])
+        other = owner[order] != np.repeat(own, times)
+        upto = np.concatenate(([0], np.cumsum(other)))
+        self._keep(keys[order[first]], near, known, count + upto[first + times] - upto[first], own)
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.repeat(count - upto[first], times) + upto[:-1]
+        return out
+
+    def least(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The smallest value that each of the keys was met with, here or in earlier calls."""
+        order, first, times, near, known = self._found(keys)
+        low = np.minimum(np.minimum.reduceat(value[order], first), self._held(self.value, near, known, NO_ID)) if len(keys) else np.zeros(0, np.int64)
+        self._keep(keys[order[first]], near, known, self._held(self.count, near, known, 0) + times, low)
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.repeat(low, times)
+        return out
+
+    def _found(self, keys: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        by = keys[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(by)), bool), by[1:] != by[:-1])))
+        near = np.searchsorted(self.keys, by[first])
+        known = np.zeros(len(first), bool)
+        inside = near < len(self.keys)
+        known[inside] = self.keys[near[inside]] == by[first][inside]
+        return order, first, np.diff(np.concatenate((first, [len(keys)]))), near, known
+
+    @staticmethod
+    def _held(column: np.ndarray, near: np.ndarray, known: np.ndarray, default: int) -> np.ndarray:
+        out = np.full(len(near), default, np.int64)
+        out[known] = column[near[known]]
+        return out
+
+    def _keep(self, keys: np.ndarray, near: np.ndarray, known: np.ndarray, count: np.ndarray, value: np.ndarray) -> None:
+        self.count[near[known]], self.value[near[known]] = count[known], value[known]
+        new = ~known
+        self.keys, self.count, self.value = (np.insert(x, near[new], y[new]) for x, y in ((self.keys, keys), (self.count, count), (self.value, value)))
+        if len(self.keys) > self.bound:
+            keep = self.count > 1
+            if 2 * keep.sum() > self.bound:
+                keep[:] = False
+            self.keys, self.count, self.value = self.keys[keep], self.count[keep], self.value[keep]
 
 
 # --- documents and what was found about them, brought together by row key ---------------------------------
 
 
 ROUTED = "part int, kind int, data binary"
-DOCS, WHOLE, RANGES, EDGES, OTHER = range(5)  # kinds of rows; WHOLE, RANGES and EDGES are marks
+DOCS, WHOLE, RANGES, EDGES, OTHER, HOT, NAMES = range(7)  # kinds of rows; WHOLE, RANGES, EDGES and HOT are marks
 
 
 def rows_of(part: list[int], kind: list[int], data: list[bytes]) -> pa.RecordBatch:
@@ -255,7 +324,7 @@ def part_of(uids: np.ndarray, parts: int) -> np.ndarray:
 def marks(kind: int, parts: int, uids: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
     """Rows that bring marks to their documents, a row for each part."""
     out_p, out_d = [], []
-    for p, sel in by_part(part_of(uids, parts), parts):
+    for p, sel in by_part(part_of(uids, parts)):
         sel = sel[np.argsort(uids[sel], kind="stable")]
         own, count, _ = steps(uids[sel], np.zeros(len(sel), np.int64))
         out_p.append(p)
@@ -300,7 +369,7 @@ def _packed(parts: int):
             uids = np.array([uid(i, t) for i, t in zip(doc_ids, body, strict=True)], U64).view(np.int64)
             rest = b.column("rest") if "rest" in b.schema.names else None
             out_p, out_d = [], []
-            for p, sel in by_part(part_of(uids, parts), parts):
+            for p, sel in by_part(part_of(uids, parts)):
                 k = sel.tolist()
                 own = b""
                 if rest is not None:

@@ -97,7 +97,7 @@ def _cells(parts: int, choices: list[int]):
             keys = np.concatenate([C.mix((code & U64(m)) + C.mix(np.array([k + 1], U64))) for k, m in enumerate(choices)])
             rows = np.tile(marks, len(choices))
             out_p, out_d = [], []
-            for p, sel in C.by_part((keys >> U64(32)) % U64(parts), parts):
+            for p, sel in C.by_part((keys >> U64(32)) % U64(parts)):
                 out_p.append(p)
                 out_d.append(C.pack(keys[sel], rows[sel]))
             yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_d, pa.binary())], names=["part", "data"])

@@ -5,8 +5,9 @@ a hash of what it stands for, so names are the same in every document and on eve
 exchange. Each symbol also carries the stretch of words on which its being there depends; a symbol whose
 stretch lies inside a window occurs, at the same offset, in every other occurrence of that window. So for
 each window one interior symbol is chosen by its content alone, and only windows whose symbol is shared by
-two documents can repeat. Those windows are named by 80 bits and meet by name; the smallest doc_id of each
-name decides.
+two documents can repeat. Those windows are named by 96 bits and meet by name; the smallest doc_id of each
+name decides. Symbols and windows that a task meets often are settled there, so that no part of a shuffle grows with
+the copies of one passage.
 
 Of the interior symbols, rather of four words or more, else of three, the one with the least hash is chosen, so
 neighbouring windows mostly choose the same. Runs are named in the first round only: to be a run, or none, is a
@@ -125,7 +126,7 @@ def _window_names(sym: np.ndarray, starts: np.ndarray, window: int):
 
 def _emit(parts: int, window: int):
     def run(batches):
-        names = C.Names()
+        names, seen = C.Names(), C.Seen()
         for batch in C.pieces(batches):
             names.fresh()
             best: dict[bytes, int] = {}
@@ -150,8 +151,15 @@ def _emit(parts: int, window: int):
                 new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))))
                 count = np.diff(np.concatenate((new, [len(at)])))
                 name, d, s = name[new], doc[new], (starts - begin[doc])[new]
-                own = uids[rows]
-                for p, sel in C.by_part((name >> U64(32)) % U64(parts), parts):
+                own, part = uids[rows], (name >> U64(32)) % U64(parts)
+                # a symbol that this task met in two documents is shared for sure: windows go straight back
+                sure = seen.others(name, own[d]) > 0
+                known = C.marks(C.RANGES, parts, own[d[sure]], s[sure].astype(np.uint32), C.small(count[sure]), C.small(part[sure]))
+                for into, more in zip(out, known, strict=True):
+                    into.extend(more)
+                left = np.flatnonzero(~sure)
+                for p, sel in C.by_part(part[left]):
+                    sel = left[sel]
                     used, times, step = C.steps(d[sel], s[sel])
                     out[0].append(p)
                     out[1].append(C.OTHER)
@@ -191,7 +199,7 @@ def _candidates(parts: int, window: int):
     """Names of the windows that may repeat, back to the parts of their symbols."""
 
     def run(batches):
-        names = C.Names()
+        names, seen = C.Names(), C.Seen()
         for rows in C.grouped(r for r in C.streamed(batches) if r[3]):
             names.fresh()
             out = C.marks(C.WHOLE, parts, np.array([r[0] for r in rows if C.WHOLE in r[3]], np.int64))
@@ -211,16 +219,33 @@ def _candidates(parts: int, window: int):
                 one, two = _window_names(sym, s, window)
                 uid = np.array([r[0] for r in rows], np.int64)
                 key = np.array([C.NO_ID if r[1] is None else r[1] for r in rows], np.int64)
-                for p, sel in C.by_part(np.concatenate(back), parts):
+                # a window that this task met with a smaller doc_id is removed for sure
+                late = key[d] > seen.least(C.mix(one) + two, key[d])
+                if late.any():
+                    known = C.marks(C.RANGES, parts, *_runs(uid[d[late]], (s - begin[d])[late]))
+                    for into, more in zip(out, known, strict=True):
+                        into.extend(more)
+                left = np.flatnonzero(~late)
+                for p, sel in C.by_part(np.concatenate(back)[left]):
+                    sel = left[sel]
                     used, times, step = C.steps(d[sel], (s - begin[d])[sel])
                     out[0].append(p)
                     out[1].append(C.OTHER)
-                    out[2].append(C.pack(one[sel], two[sel].astype(np.uint16), uid[used], key[used], times, step))
+                    out[2].append(C.pack(one[sel], two[sel].astype(np.uint32), uid[used], key[used], times, step))
             yield C.rows_of(*out)
 
     return run
 
 
+def _runs(uid: np.ndarray, s: np.ndarray):
+    """(uid, first, number) of the runs of windows."""
+    order = np.lexsort((s, uid))
+    uid, s = uid[order], s[order]
+    new = np.flatnonzero(np.concatenate(([True], (uid[1:] != uid[:-1]) | (s[1:] > s[:-1] + 1))))
+    end = s[np.concatenate((new[1:], [len(s)])) - 1] + 1
+    return uid[new], s[new].astype(np.uint32), C.small(end - s[new])
+
+
 def _judged(parts: int):
     """Windows that a smaller doc_id has -> removed ranges of words, by document."""
 
@@ -242,12 +267,7 @@ def _judged(parts: int):
         least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate((first, [len(one)]))))
         late = key > least
         if late.any():
-            uid, s = uid[late], s[late]
-            order = np.lexsort((s, uid))
-            uid, s = uid[order], s[order]
-            new = np.flatnonzero(np.concatenate(([True], (uid[1:] != uid[:-1]) | (s[1:] > s[:-1] + 1))))
-            end = s[np.concatenate((new[1:], [len(s)])) - 1] + 1
-            yield C.rows_of(*C.marks(C.RANGES, parts, uid[new], s[new].astype(np.uint32), C.small(end - s[new])))
+            yield C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[late], s[late])))
 
     return run
 

@@ -36,6 +36,9 @@ from .disk_queue import DiskQueue
 
 U64 = np.uint64
 LENGTH, LEVELS = 400, 4
+FEW = 16  # tuples of one prefix that a task sends at most, and one more that says there are MANY
+MOST = 1000  # stretches of one prefix that are compared in one place; windows of more meet by name
+MANY = np.uint16(1 << 15)
 CHUNK = 1 << 20
 TUPLE = np.dtype([("prefix", U64), ("stretch", U64), ("uid", np.int64), ("start", np.uint32), ("count", np.uint16), ("lead", np.uint16)])
 _BYTES = C.mix(np.arange(256, dtype=U64) + U64(0xC2B2AE3D27D4EB4F))
@@ -128,6 +131,7 @@ def tuples(bodies: list[bytes], length: int):
 
 def _emit(parts: int, length: int):
     def run(batches):
+        alike, led = C.Seen(), C.Seen()
         for batch in C.pieces(batches, limit=CHUNK):
             rows: dict[bytes, list] = {}
             for i, t in zip(C.ids(batch), C.texts(batch), strict=True):
@@ -137,7 +141,19 @@ def _emit(parts: int, length: int):
             if got := tuples(list(rows), length):
                 prefix, stretch, d, s, count, lead = got
                 uid = np.array([us[0] for us in rows.values()], U64).view(np.int64)
-                for p, sel in C.by_part((prefix >> U64(40)) % U64(parts), parts):
+                # a stretch that this task met twice is removed for sure; of a prefix that it meets often no more tuples go out
+                twice = alike.before(C.mix(prefix) + stretch) > 1
+                met = np.where(twice, 0, FEW)
+                met[~twice] = led.before(prefix[~twice])
+                hot = met > FEW
+                full = C.marks(C.RANGES, parts, uid[d[twice]], s[twice], count[twice])
+                more = C.marks(C.HOT, parts, uid[d[hot]], prefix[hot], s[hot], count[hot], lead[hot])
+                count = np.where(met == FEW, count | MANY, count)
+                for into, x, y in zip(out, full, more, strict=True):
+                    into.extend([*x, *y])
+                left = np.flatnonzero(~twice & ~hot)
+                for p, sel in C.by_part((prefix[left] >> U64(40)) % U64(parts)):
+                    sel = left[sel]
                     used, times, step = C.steps(d[sel], s[sel])
                     out[0].append(p)
                     out[1].append(C.OTHER)
@@ -170,31 +186,40 @@ def _sorted(parts: int, memory: int):
             twice = np.repeat(times > 1, times)
             group = np.cumsum(new_p[at_s]) - 1
             kinds = np.bincount(group)  # different stretches of each prefix
-            edge = np.zeros(len(t), bool)
-            edge[at_s] = kinds[group] > 1  # one tuple of each stretch stands for it
-            full, edge = t[twice], t[edge]
+            many = np.logical_or.reduceat(t["count"] >= MANY, np.flatnonzero(new_p)) | (kinds > MOST)
+            t["count"] &= MANY - np.uint16(1)
+            edge, hot = np.zeros(len(t), bool), np.zeros(len(t), bool)
+            edge[at_s] = (kinds > 1)[group] & ~many[group]  # one tuple of each stretch stands for it
+            hot[at_s] = many[group]
+            full = t[twice]
             if len(full):
                 yield C.rows_of(*C.marks(C.RANGES, parts, full["uid"], full["start"], full["count"]))
-            if len(edge):
-                yield C.rows_of(*C.marks(C.EDGES, parts, edge["uid"], edge["prefix"], edge["start"], edge["count"], edge["lead"]))
+            for kind, x in ((C.EDGES, t[edge]), (C.HOT, t[hot])):
+                if len(x):
+                    yield C.rows_of(*C.marks(kind, parts, x["uid"], x["prefix"], x["start"], x["count"], x["lead"]))
 
     return run
 
 
 def _stretches(parts: int, length: int):
-    """The text of stretches that share a prefix only, dealt out by prefix."""
+    """The text of stretches that share a prefix only, dealt out by prefix; where a prefix has many, the names of their
+    windows, dealt out by name."""
 
     def run(batches):
+        met = C.Seen()
         for rows in C.grouped((r for r in C.streamed(batches) if r[3]), CHUNK):
             got = []
+            yield C.rows_of(*_named([(r[0], r[2], r[3][C.HOT]) for r in rows if C.HOT in r[3]], met, parts, length))
             for key, _, text, marks, _ in rows:
+                if C.EDGES not in marks:
+                    continue
                 prefix, s, count, lead = marks[C.EDGES]
                 got += [(x, key, a, c, o, text[a : a + c + length - 1]) for x, a, c, o in zip(prefix.tolist(), s.tolist(), count.tolist(), lead.tolist(), strict=True)]
             out = [], [], []
             if got:
                 part = (np.array([g[0] for g in got], U64) >> U64(40)) % U64(parts)
                 press = zstandard.ZstdCompressor(level=1)
-                for p, sel in C.by_part(part, parts):
+                for p, sel in C.by_part(part):
                     x = [got[i] for i in sel.tolist()]
                     cols = [np.array([g[i] for g in x], t) for i, t in ((0, U64), (1, np.int64), (2, np.uint32), (3, np.uint16), (4, np.uint16))]
                     out[0].append(p)
@@ -205,6 +230,61 @@ def _stretches(parts: int, length: int):
     return run
 
 
+def _named(rows: list[tuple], met: C.Seen, parts: int, length: int):
+    """Rows with the names of all windows of the stretches of (uid, text, their marks)."""
+    names, owner, start = [], [], []
+    for uid, text, (prefix, s, count, lead) in rows:
+        sums = C.RangeHash(_BYTES[np.frombuffer(text, np.uint8)], 1)
+        n = count.astype(np.int64)
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        w = np.repeat(s.astype(np.int64), n) + j
+        name = sums(w, w + length) + C.mix(np.repeat(prefix, n) + (np.repeat(lead.astype(np.int64), n) - j + 65536).astype(U64))
+        order = np.argsort(w)
+        names.append(C.mix(name[order]))
+        start.append(w[order])
+        owner.append(np.full(len(w), uid, np.int64))
+    out = [], [], []
+    if names:
+        name, uid, s = (np.concatenate(x) for x in (names, owner, start))
+        twice = met.before(name) > 1  # sure, since the first two go out
+        for into, x in zip(out, C.marks(C.RANGES, parts, *_runs(uid[twice], s[twice])), strict=True):
+            into.extend(x)
+        left = np.flatnonzero(~twice)
+        for p, sel in C.by_part((name[left] >> U64(32)) % U64(parts)):
+            sel = left[sel]
+            used, times, step = C.steps(uid[sel], s[sel])
+            out[0].append(p)
+            out[1].append(C.NAMES)
+            out[2].append(C.pack(name[sel], used, times, step))
+    return out
+
+
+def _runs(uid: np.ndarray, s: np.ndarray):
+    """(uid, first, number) of the runs of windows."""
+    order = np.lexsort((s, uid))
+    s, uid = s[order], uid[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), (uid[1:] != uid[:-1]) | (s[1:] > s[:-1] + 1))))
+    end = s[np.concatenate((first[1:], np.full(min(1, len(s)), len(s)))) - 1] + 1
+    return uid[first], s[first].astype(np.uint32), (end - s[first]).astype(np.uint32)
+
+
+def _met(parts: int, rows: list[bytes]):
+    """Ranges of the windows whose names two of _named()'s rows have."""
+    name, uid, s = [], [], []
+    for data in rows:
+        n, own, times, step = C.unpack(data)
+        name.append(n)
+        uid.append(np.repeat(own, times))
+        s.append(C.positions(times, step))
+    name, uid, s = (np.concatenate(x) for x in (name, uid, s))
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    again = np.zeros(len(name), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[again], s[again])))
+
+
 def _compared(parts: int, length: int, at_once: int = 300_000):
     """Windows of stretches with a common prefix that two stretches have -> ranges of window starts."""
 
@@ -213,8 +293,15 @@ def _compared(parts: int, length: int, at_once: int = 300_000):
         text, here = [], 0
         places = []
         unpress = zstandard.ZstdDecompressor()
+        named: list[bytes] = []
         for b in batches:
-            for data in b.column("data").to_pylist():
+            for p, kind, data in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
+                if kind == C.RANGES:
+                    yield C.rows_of([p], [kind], [data])
+                if kind == C.NAMES:
+                    named.append(data)
+                if kind != C.OTHER:
+                    continue
                 *five, body = C.unpack(unpress.decompress(data))
                 for c, v in zip(cols, five, strict=True):
                     c.append(v)
@@ -222,6 +309,8 @@ def _compared(parts: int, length: int, at_once: int = 300_000):
                 places.append(here + np.cumsum(size) - size)
                 text.append(body)
                 here += len(body)
+        if named:
+            yield _met(parts, named)
         if not text:
             return
         prefix, uid, start, count, lead = (np.concatenate(c) for c in cols)
@@ -249,12 +338,7 @@ def _compared(parts: int, length: int, at_once: int = 300_000):
             if again.any():
                 which = np.repeat(np.arange(a, b), n)[again]
                 s = start[which].astype(np.int64) + j[again]
-                own = uid[which]
-                order = np.lexsort((s, own))
-                s, own = s[order], own[order]
-                first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (s[1:] > s[:-1] + 1))))
-                end = s[np.concatenate((first[1:], [len(s)])) - 1] + 1
-                yield C.rows_of(*C.marks(C.RANGES, parts, own[first], s[first].astype(np.uint32), (end - s[first]).astype(np.uint32)))
+                yield C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[which], s)))
 
     return run
 
@@ -308,7 +392,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep: str = "", carry: t
     plain = docs.select("doc_id", "text")
     part = F.col("part")
     found = C.checkpointed(plain.mapInArrow(_emit(n, length), C.ROUTED).repartitionById(n, part).mapInArrow(_sorted(n, memory), C.ROUTED))  # read twice below
-    edges, full = found.where(f"kind = {C.EDGES}"), found.where(f"kind <> {C.EDGES}")
+    edges, full = (found.where(f"kind {test} ({C.EDGES}, {C.HOT})") for test in ("in", "not in"))
     stretches = C.routed(plain, edges, n).mapInArrow(_stretches(n, length), C.ROUTED)
     more = stretches.repartitionById(n, part).mapInArrow(_compared(n, length), C.ROUTED)
     schema = C.schema_of(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {"": "", "bytes": ", kept binary", "text": ", kept string"}[keep])

@@ -3,8 +3,8 @@
 A fingerprint is mapped to the numbers of set bits in its 32 two-bit segments. The Manhattan distance of two such
 vectors is at most the Hamming distance of their fingerprints. If it is k or less, and the segments are dealt into
 B blocks, at least B - k blocks of the vectors are equal; so a range join of radius k meets every pair in the
-cells given by B - k of the blocks. Within a cell, pairs are first filtered by the Manhattan bound, then verified
-exactly. B grows with the number of different fingerprints, so that cells stay small; no B loses a pair.
+cells given by B - k of the blocks. Within a cell, pairs are first filtered by the difference of their numbers of set
+bits and by the Manhattan bound, then verified exactly. B grows with the number of different fingerprints, so that cells stay small; no B loses a pair.
 
 Only different fingerprints are joined, each standing for all its documents; a cell gives a spanning forest of its
 links, never all pairs. Groups are connected components, found by alternating large-star and small-star rounds
@@ -27,7 +27,7 @@ from . import _common as C
 
 U64 = np.uint64
 SHINGLE, SEED, BITS = 3, 42, 3
-TILE, LARGE = 2048, 8192
+TILE, LARGE = 1024, 8192
 KEY = "__row_key"
 _ODD = U64(0x5555555555555555)
 
@@ -131,27 +131,54 @@ def _verified(a: np.ndarray, b: np.ndarray, bits: int):
     return near[np.bitwise_count(a[near] ^ b[near]) <= bits]
 
 
+def _joined(a: np.ndarray, b: np.ndarray, sets: Union) -> None:
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        sets.join(x, y)
+
+
 def _link(marks: np.ndarray, bits: int, sets: Union, split: bool = True) -> None:
-    """Links within one cell. Large cells are split by exact blocks first, which loses no pair either."""
+    """Links within one cell: a range join on the sum of the segments' counts, which the Manhattan distance bounds too,
+    then the Manhattan bound itself, then the exact distance. Large cells are split by exact blocks first, and of
+    what is still large the neighbours are looked up; neither loses a pair."""
     if split and len(marks) > LARGE:
         each = [U64(0xFF << 8 * i) for i in range(8)]
         for c in combinations(each, 8 - bits):
-            key = marks & np.bitwise_or.reduce(np.array(c, U64))
+            fixed = np.bitwise_or.reduce(np.array(c, U64))
+            key = marks & fixed
             order = np.argsort(key, kind="stable")
             edge = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]))
             for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                if b - a > 1:
+                if b - a > LARGE:
+                    _look_up(np.sort(marks[order[a:b]]), ~fixed, bits, sets)
+                elif b - a > 1:
                     _link(marks[order[a:b]], bits, sets, False)
         return
+    total = np.bitwise_count(marks)
+    order = np.argsort(total, kind="stable")
+    marks, total = marks[order], total[order].astype(np.int64)
+    code = embed(marks)
     for a in range(0, len(marks), TILE):
-        one = marks[a : a + TILE]
-        for b in range(a, len(marks), TILE):
-            two = marks[b : b + TILE]
-            i, j = np.nonzero(np.bitwise_count(one[:, None] ^ two[None, :]) <= bits)
+        one = slice(a, a + TILE)
+        upto = int(np.searchsorted(total, total[one][-1] + bits, "right"))
+        for b in range(a, upto, TILE):
+            two = slice(b, min(b + TILE, upto))
+            i, j = np.nonzero(manhattan(code[one, None], code[None, two]) <= bits)
             if a == b:
                 i, j = i[i < j], j[i < j]
-            for x, y in zip(one[i].tolist(), two[j].tolist(), strict=True):
-                sets.join(x, y)
+            x, y = marks[one][i], marks[two][j]
+            near = np.bitwise_count(x ^ y) <= bits
+            _joined(x[near], y[near], sets)
+
+
+def _look_up(marks: np.ndarray, free: np.uint64, bits: int, sets: Union) -> None:
+    """Links of sorted fingerprints that differ in ``free`` bits only: each is looked up with up to ``bits`` of them turned."""
+    single = [1 << k for k in range(64) if int(free) >> k & 1]
+    for n in range(1, bits + 1):
+        for turned in combinations(single, n):
+            other = marks ^ U64(sum(turned))
+            at = np.minimum(np.searchsorted(marks, other), len(marks) - 1)
+            hit = (marks[at] == other) & (marks < other)
+            _joined(marks[hit], other[hit], sets)
 
 
 def _links(bits: int):
@@ -179,7 +206,7 @@ def _links(bits: int):
                 ok = _verified(rows[:, i], rows[:, j], bits)
                 for x, y in zip(rows[ok, i].tolist(), rows[ok, j].tolist(), strict=True):
                     sets.join(x, y)
-        for k in np.flatnonzero(size > 32).tolist():
+        for k in np.flatnonzero(size > 32).tolist():  # the others were joined above, by the same bounds
             _link(mark[edge[k] : edge[k + 1]], bits, sets)
         pairs = [(x, r) for x in sets.up if (r := sets.root(x)) != x]
         if pairs:

@@ -164,8 +164,13 @@ def test_large_cells_lose_no_link(monkeypatch):
     monkeypatch.setattr(simhash_dedup, "LARGE", 100)
     one, two = simhash_dedup.Union(), simhash_dedup.Union()
     simhash_dedup._link(m, 3, one)
+    monkeypatch.setattr(simhash_dedup, "TILE", 64)
     simhash_dedup._link(m, 3, two, False)
-    assert all(one.root(x) == two.root(x) for x in m.tolist())
+    three = simhash_dedup.Union()
+    for k, x in enumerate(m.tolist()):
+        for y in m[k + 1 :][np.bitwise_count(m[k + 1 :] ^ m[k]) <= 3].tolist():
+            three.join(x, y)
+    assert all(one.root(x) == two.root(x) == three.root(x) for x in m.tolist())
 
 
 def test_chain_of_links_is_one_component(spark):

@@ -13,7 +13,7 @@ import xxhash
 
 import corpus_pipeline
 from fathom.llm import _common as C
-from fathom.llm import decontamination, html_extraction, license_scan, piece_bpe, queries, quality, simhash_dedup, toxicity
+from fathom.llm import decontamination, html_extraction, induced_sorting, license_scan, piece_bpe, queries, quality, simhash_dedup, toxicity
 from fathom.llm.disk_queue import DiskQueue
 from fathom.llm.piece_codec import encode_decode
 from fathom.llm.substring_dedup import substring_dedup
@@ -97,6 +97,42 @@ def test_suffix_dedup_on_documents(spark, sf_dir):
     same(suffix_dedup(docs), brute_bytes([(r.doc_id, r.text) for r in docs.collect()], 400))
 
 
+def test_suffix_dedup_against_induced_sorting(spark, sf_dir):
+    rng = random.Random(4)
+    for _ in range(300):
+        x = [rng.randint(0, 3) for _ in range(rng.randint(0, 30))]
+        assert induced_sorting.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
+    rows = [(r.doc_id, r.text) for r in C.documents(spark, sf_dir).limit(60).collect()]
+    rows += [(k, "".join(rng.choice("ab") for _ in range(300)) + "q" * 500) for k in range(1000, 1030)]  # one crowded prefix
+    gone = induced_sorting.repeated([(t or "").encode() for _, t in rows], 400)
+    got = suffix_dedup(frame(spark, rows).repartition(2)).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, sum(g)) for (i, _), g in zip(rows, gone, strict=True)), key=str)
+
+
+def test_seen_counts_as_if_row_by_row():
+    rng = np.random.default_rng(1)
+    for bound in (10_000, 20):
+        before, others, least = C.Seen(bound), C.Seen(bound), C.Seen(bound)
+        count, first, other, low = Counter(), {}, Counter(), {}
+        for _ in range(20):
+            k, v = rng.integers(0, 60, 50).astype(np.uint64), rng.integers(0, 5, 50)
+            got = before.before(k), others.others(k, v), least.least(k, v)
+            want = [], [], []
+            for x, y in zip(k.tolist(), v.tolist(), strict=True):
+                want[0].append(count[x])
+                count[x] += 1
+                want[1].append(other[x])
+                other[x] += first.setdefault(x, y) != y
+                low[x] = min(low.get(x, 99), y)
+            want[2].extend(low[x] for x in k.tolist())
+            if bound > 100:
+                assert [g.tolist() for g in got] == list(want)
+            else:  # keys are forgotten: never more than there was
+                assert (got[0] <= want[0]).all() and (got[1] <= np.array(want[0])).all() and (got[2] >= want[2]).all()
+    empty = np.zeros(0, np.uint64)
+    assert not len(C.Seen().before(empty)) and not len(C.Seen().others(empty, empty.view(np.int64))) and not len(C.Seen().least(empty, empty.view(np.int64)))
+
+
 def test_suffix_dedup_carries_and_keeps_whole_characters(spark):
     df = spark.createDataFrame([(1, "é" * 5 + "abcdefgh", "x"), (2, "è" * 5 + "abcdefgh", None)], "doc_id long, text string, source string")
     got = {r.doc_id: (r.kept, r.source) for r in suffix_dedup(df, 4, keep="text", carry=("source",)).collect()}

@@ -501,3 +501,6 @@ def downstream_delete(s, d):
     outputs = e.select(F.col("s_nationkey").alias("process"), F.concat(F.lit("f"), F.col("s_nationkey")).alias("file"))
     inputs = e.select(((F.col("s_nationkey") * 3 + 1) % 25).alias("process"), F.concat(F.lit("f"), F.col("s_nationkey")).alias("file"))
     return downstream(inputs, outputs, s.range(2, 3).select(F.col("id").cast("int").alias("process")))[0]
+
+
+from . import catalog_fields as catalog_fields  # noqa: E402  more queries register themselves

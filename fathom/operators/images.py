@@ -133,3 +133,66 @@ def per_image(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], pixels:
             yield b
 
     return df.mapInArrow(run, df.schema)
+
+
+def power(a: np.ndarray) -> np.ndarray:
+    """Squared amplitudes of the full transform, the mean at (0, 0)."""
+    return np.abs(np.fft.fft2(a)) ** 2 / (a.shape[-1] * a.shape[-2]) ** 2
+
+
+def laplacian_of_gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
+    """The negative Laplacian of the image smoothed by a Gaussian of sigma pixels: bright blobs of that size stand out."""
+    k2 = (2 * np.pi * frequency(*a.shape[-2:])) ** 2
+    return filtered(a, k2 * np.exp(-k2 * sigma * sigma / 2))
+
+
+def whitened(a: np.ndarray) -> np.ndarray:
+    """Every shell of rounded radius brought to a mean square amplitude of 1; empty shells stay 0."""
+    f = np.fft.fft2(a)
+    r = np.rint(np.hypot(*np.meshgrid(*[np.fft.fftfreq(n) * n for n in a.shape[-2:]], indexing="ij"))).astype(int)
+    count = np.bincount(r.ravel())
+    square = np.stack([np.bincount(r.ravel(), (np.abs(x) ** 2).ravel()) for x in f.reshape(-1, *a.shape[-2:])]) / count
+    scale = np.where(square > 1e-20, 1 / np.sqrt(np.maximum(square, 1e-20)), 0.0)
+    return np.fft.ifft2(f * scale[:, r].reshape(f.shape)).real
+
+
+def phase_randomised(a: np.ndarray, beyond: float, seed: int = 0) -> np.ndarray:
+    """Amplitudes kept, phases of frequencies of ``beyond`` cycles per pixel and more drawn anew; the same for each seed."""
+    f = np.fft.rfft2(a)
+    ny, nx = a.shape[-2:]
+    noise = np.fft.rfft2(np.random.default_rng(seed).standard_normal((ny, nx)))
+    turn = np.where(np.abs(noise) > 0, noise / np.maximum(np.abs(noise), 1e-300), 1.0)
+    return np.fft.irfft2(np.where(frequency(ny, nx) >= beyond, np.abs(f) * turn, f), (ny, nx))
+
+
+def convolved(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Circular convolution with a kernel whose middle is at n // 2."""
+    k = np.zeros(a.shape[-2:])
+    h, w = kernel.shape
+    k[:h, :w] = kernel
+    return np.fft.irfft2(np.fft.rfft2(a) * np.fft.rfft2(np.roll(k, (-(h // 2), -(w // 2)), (0, 1))), a.shape[-2:])
+
+
+def cross_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Normalised correlation of images with one reference at every circular shift; 0 for constant images."""
+    x, y = a - a.mean((-2, -1), keepdims=True), b - b.mean()
+    scale = np.sqrt((x * x).sum((-2, -1), keepdims=True) * (y * y).sum())
+    c = np.fft.irfft2(np.fft.rfft2(x) * np.fft.rfft2(y).conj(), a.shape[-2:])
+    return np.where(scale > 1e-20, c / np.maximum(scale, 1e-20), 0.0)
+
+
+def ctf_applied(a: np.ndarray, ctf: np.ndarray, phase_flip: bool = False) -> np.ndarray:
+    """Images times a contrast transfer function on the full grid of frequencies, or times its signs."""
+    return np.fft.ifft2(np.fft.fft2(a) * (np.where(ctf < 0, -1.0, 1.0) if phase_flip else ctf)).real
+
+
+def centred(a: np.ndarray) -> np.ndarray:
+    """Each image moved by whole pixels so that the centre of mass of its positive pixels is at n // 2."""
+    ny, nx = a.shape[-2:]
+    out = np.empty_like(a)
+    for k, x in enumerate(a):
+        p = np.maximum(x, 0)
+        s = p.sum()
+        cy, cx = ((p.sum(1) @ np.arange(ny)) / s, (p.sum(0) @ np.arange(nx)) / s) if s > 0 else (ny // 2, nx // 2)
+        out[k] = np.roll(x, (int(np.floor(ny // 2 - cy + 0.5)), int(np.floor(nx // 2 - cx + 0.5))), (0, 1))
+    return out

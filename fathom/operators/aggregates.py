@@ -26,6 +26,34 @@ def sorted_pick(df: DataFrame, column: str, n: int, rid: str) -> DataFrame:
     return top.orderBy(*back).limit(1)
 
 
+def order_statistics(df: DataFrame, column: str, ranks: list[int], bins: int = 4096) -> list[float]:
+    """Exact values at the given places (from 0) of the sorted column, nulls left out.
+
+    Nothing is sorted or shuffled but counts: each pass counts the values in equal bins of the range that holds a
+    place and goes on with its bin, until that holds one value only.
+    """
+    c = F.col(column).cast("double")
+    rows = df.where(c.isNotNull()).select(c.alias("v"))
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    out, known = [], {}
+    for rank in ranks:
+        lo, hi, before = low, high, 0
+        while lo is not None and lo < hi:
+            if (lo, hi) not in known:
+                at = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / ((hi - lo) / bins)).cast("int"))
+                counted = rows.where(F.col("v").between(lo, hi)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                known[lo, hi] = sorted(counted.collect(), key=lambda r: r.b)  # at most ``bins`` rows
+            for r in known[lo, hi]:
+                if rank < before + r.n:
+                    lo, hi = r.lo, r.hi
+                    break
+                before += r.n
+            else:
+                raise IndexError(rank)
+        out.append(lo)
+    return out
+
+
 def histogram(df: DataFrame, column: str, bins: int | None = None, low: float | None = None, high: float | None = None, iqr: str = "upper", most_bins: int = 5000) -> DataFrame:
     """(bin, count): bin 0 and the last hold what is below and above.
 
@@ -35,12 +63,10 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, low: float |
     """
     c = F.col(column).cast("double")
     base = df.where(c.isNotNull()).agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"))
-    # order statistics without sorting into one partition: exact percentiles at (k + tiny) / (n - 1)
     n, lo, hi = base.first()
     if not n:
         return df.sparkSession.createDataFrame([], "bin long, count long")
-    at = [min(n - 1, k) / max(n - 1, 1) for k in (n // 4, n // 2, 3 * n // 4)]
-    q1, q2, q3 = df.where(c.isNotNull()).agg(F.percentile(c, F.array(*[F.lit(x) for x in at]))).first()[0]
+    q1, q2, q3 = order_statistics(df, column, [min(n - 1, k) for k in (n // 4, n // 2, 3 * n // 4)])
     spread = q3 - (q2 if iqr == "upper" else q1)
     if bins is None:
         if spread == 0:

@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship
 from .joins import band_pairs
 from .table import random_key
 
 
+def _near_cell(on: list[str], reach: float) -> list[Column]:
+    """Cells so small that all rows of one are within reach of each other."""
+    width = reach / len(on) ** 0.5 * (1 - 1e-9)
+    return [(F.floor(F.col(c) / width) if reach > 0 else F.col(c)).alias(f"__{k}") for k, c in enumerate(on)]
+
+
 def remove_near(df: DataFrame, group: list[str], on: list[str], reach: float, rid: str) -> DataFrame:
-    """Rows without a later row of their group within reach (inclusive). Removed rows still remove earlier ones."""
+    """Rows without a later row of their group within reach (inclusive). Removed rows still remove earlier ones.
+
+    Of a cell in which all rows are near each other only the last can stay; only these last ones meet the rows around
+    them, so the pairs looked at grow with the rows however dense a place is.
+    """
     keys = df.select(*group, *on, rid)
-    gone = band_pairs(keys, keys, [(c, c) for c in on], reach, group).where(F.col(f"b_{rid}") > F.col(f"a_{rid}")).select(F.col(f"a_{rid}").alias(rid)).distinct()
-    return df.join(gone, rid, "left_anti")
+    last = keys.groupBy(*group, *_near_cell(on, reach)).agg(F.max_by(F.struct(*on, rid), rid).alias("__r")).select(*group, "__r.*")
+    gone = band_pairs(last, keys, [(c, c) for c in on], reach, group).where(F.col(f"b_{rid}") > F.col(f"a_{rid}")).select(F.col(f"a_{rid}").alias(rid)).distinct()
+    return df.join(last.select(rid).join(gone, rid, "left_anti"), rid, "left_semi")
 
 
 def too_close(df: DataFrame, group: list[str], on: list[str], reach: float, rid: str) -> DataFrame:
-    """Rows whose nearest neighbour in the group is strictly farther than reach; both of a close pair go."""
+    """Rows whose nearest neighbour in the group is strictly farther than reach; both of a close pair go.
+
+    Only rows that are alone in their cell (see remove_near) meet the rows around them.
+    """
     keys = df.select(*group, *on, rid)
-    gone = band_pairs(keys, keys, [(c, c) for c in on], reach, group).where(F.col(f"b_{rid}") != F.col(f"a_{rid}")).select(F.col(f"a_{rid}").alias(rid)).distinct()
-    return df.join(gone, rid, "left_anti")
+    alone = keys.groupBy(*group, *_near_cell(on, reach)).agg(F.count("*").alias("__n"), F.first(F.struct(*on, rid)).alias("__r")).where("__n = 1").select(*group, "__r.*")
+    gone = band_pairs(alone, keys, [(c, c) for c in on], reach, group).where(F.col(f"b_{rid}") != F.col(f"a_{rid}")).select(F.col(f"a_{rid}").alias(rid)).distinct()
+    return df.join(alone.select(rid).join(gone, rid, "left_anti"), rid, "left_semi")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -31,21 +49,27 @@ def regroup(groups: DataFrame, outer: str, order: list[str], size: str, average:
     """Consecutive groups gathered into larger ones: within each outer group, in order, sizes add up; when the sum
     exceeds the average a new group starts with the group that made it so, and the sum starts from 0.
 
-    groups is one row for each small group (a dimension); the fold runs over the sorted array of an outer group.
+    groups is one row for each small group. Outer groups are sorted where they lie and folded row by row in Arrow-backed
+    Python, which holds a batch at a time.
     """
-    fields = [*order, size, *[c for c in groups.columns if c not in (*order, size, outer)]]
-    rows = groups.withColumn("__avg", F.lit(average) if not isinstance(average, Column) else average)
-    g = rows.groupBy(outer).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("a"), F.first("__avg").alias("avg"))
-    start = F.struct(F.lit(0.0).alias("acc"), F.lit(0).cast("long").alias("gid"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s, x):
-        acc = s.acc + x[size].cast("double")
-        over = acc > F.col("avg")
-        gid = s.gid + over.cast("long")
-        return F.struct(F.when(over, 0.0).otherwise(acc).alias("acc"), gid.alias("gid"), F.concat(s.out, F.array(gid)).alias("out"))
-
-    g = g.withColumn("ids", F.aggregate("a", start, step).out)
-    return g.select(outer, F.explode(F.arrays_zip("a", "ids")).alias("z")).select(outer, *[F.col(f"z.a.{f}").alias(f) for f in fields], F.col("z.ids").alias(label))
+    rows = groups.withColumn("__avg", (average if isinstance(average, Column) else F.lit(average)).cast("double"))
+    rows = rows.repartition(outer).sortWithinPartitions(outer, *order)
+    ship(groups.sparkSession)
+
+    def run(batches):
+        now, total, gid = object(), 0.0, 0
+        for b in batches:
+            out = []
+            for o, n, most in zip(*(b.column(c).to_pylist() for c in (outer, size, "__avg")), strict=True):
+                if o != now:
+                    now, total, gid = o, 0.0, 0
+                total += float(n or 0)
+                if total > most:
+                    total, gid = 0.0, gid + 1
+                out.append(gid)
+            yield b.drop_columns(["__avg"]).append_column(label, pa.array(out, pa.int64()))
+
+    return rows.mapInArrow(run, T.StructType([*groups.schema.fields, T.StructField(label, T.LongType())]))
 
 
 def random_halves(df: DataFrame, key: str, seed: int, name: str = "half") -> DataFrame:
@@ -54,16 +78,25 @@ def random_halves(df: DataFrame, key: str, seed: int, name: str = "half") -> Dat
 
 
 def balanced_halves(groups: DataFrame, key: str, size: str, seed: int) -> DataFrame:
-    """Groups in random order, each to the smaller half, ties to half 2. groups is a table of groups with sizes (a dimension)."""
-    g = groups.agg(F.array_sort(F.collect_list(F.struct(random_key(key, seed).alias("r"), F.col(key).alias("k"), F.col(size).cast("long").alias("n")))).alias("a"))
-    start = F.struct(F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n2"), F.array().cast("array<int>").alias("out"))
+    """Groups in random order, each to the smaller half, ties to half 2. groups is a table of groups with sizes.
 
-    def step(s, x):
-        one = s.n1 < s.n2
-        return F.struct((s.n1 + F.when(one, x.n).otherwise(0)).alias("n1"), (s.n2 + F.when(one, 0).otherwise(x.n)).alias("n2"), F.concat(s.out, F.array(F.when(one, 1).otherwise(2))).alias("out"))
-
-    g = g.withColumn("h", F.aggregate("a", start, step).out)
-    return g.select(F.explode(F.arrays_zip("a", "h")).alias("z")).select(F.col("z.a.k").alias(key), F.col("z.a.n").alias(size), F.col("z.h").cast("int").alias("half"))
+    Each choice depends on all before it, so the sorted groups (not their rows) pass one task, a batch at a time.
+    """
+    g = groups.select(F.col(key), F.col(size).cast("long").alias(size), random_key(key, seed).alias("__r"))
+    g = g.repartition(1).sortWithinPartitions("__r", key).drop("__r")
+    ship(groups.sparkSession)
+
+    def run(batches):
+        had = [0, 0]
+        for b in batches:
+            out = []
+            for n in b.column(size).to_pylist():
+                half = 0 if had[0] < had[1] else 1
+                had[half] += n or 0
+                out.append(half + 1)
+            yield b.append_column("half", pa.array(out, pa.int32()))
+
+    return g.mapInArrow(run, T.StructType([*g.schema.fields, T.StructField("half", T.IntegerType())]))
 
 
 def cumulative_dose(df: DataFrame, group: str, order: list[str], dose: Column, before: bool = False, name: str = "dose") -> DataFrame:

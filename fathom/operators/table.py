@@ -23,14 +23,15 @@ def with_row_id(df: DataFrame, *keys: str, name: str = "rid") -> DataFrame:
     """
     s = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
     s = s.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else s.cache()
-    part = F.shiftright("__m", 33)
-    counts = s.groupBy(part.alias("p")).count().collect()
-    at, offsets = 0, {}
-    for r in sorted(counts, key=lambda r: r.p):
-        offsets[r.p] = at
+    s = s.withColumn("__p", F.shiftright("__m", 33))
+    counts = s.groupBy("__p").count().collect()  # a number for each partition
+    at, offsets = 0, []
+    for r in sorted(counts, key=lambda r: r["__p"]):
+        offsets.append((r["__p"], at))
         at += r["count"]
-    table = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.lit(None).cast("map<bigint,bigint>")
-    return s.withColumn(name, (F.element_at(table, part) + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__m")
+    table = df.sparkSession.createDataFrame(offsets, "__p long, __before long")
+    place = (F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return s.join(F.broadcast(table), "__p").withColumn(name, place).drop("__m", "__p", "__before")
 
 
 # --- columns ---------------------------------------------------------------------------------------------------
@@ -85,7 +86,7 @@ def renumber_groups(rows: DataFrame, groups: DataFrame, key: str) -> tuple[DataF
     """Drops groups without rows and numbers the others from 1 in their order. groups is a small dimension."""
     used = groups.join(rows.select(key).distinct(), key, "left_semi")
     new = used.orderBy(key).select(key).withColumn("__new", F.row_number().over(_whole(key)))
-    renumbered = [x.join(F.broadcast(new), key).drop(key).withColumnRenamed("__new", key) for x in (rows, used)]
+    renumbered = [x.join(new, key).drop(key).withColumnRenamed("__new", key) for x in (rows, used)]
     return renumbered[0], renumbered[1]
 
 
@@ -207,12 +208,12 @@ def combine_padded(*tables: DataFrame) -> DataFrame:
 def combine_rekeyed(tables: list[tuple[DataFrame, DataFrame]], key: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows, groups) of several (rows, groups) tables: equal names become one group, others get new numbers by first appearance.
 
-    groups are small dimensions and are broadcast.
+    groups are dimensions; whether they are broadcast is left to their size.
     """
     named = [g.select(key, name, F.lit(i).alias("__t")) for i, (_, g) in enumerate(tables)]
     firsts = reduce(DataFrame.unionByName, named).groupBy(name).agg(F.min(F.struct("__t", key)).alias("first"))
     numbered = firsts.withColumn("__new", F.row_number().over(_whole("first"))).drop("first")
     rows = []
     for i, (r, _) in enumerate(tables):
-        rows.append(r.join(F.broadcast(named[i].join(numbered, name).select(key, "__new")), key).drop(key).withColumnRenamed("__new", key))
+        rows.append(r.join(named[i].join(numbered, name).select(key, "__new"), key).drop(key).withColumnRenamed("__new", key))
     return combine(*rows), numbered.select(F.col("__new").alias(key), name)

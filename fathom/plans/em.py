@@ -38,7 +38,8 @@ def _sums(vector: str, model):
             rest += float((x * x).sum())
             ll += float(like.sum())
             n += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array([list(w)]), pa.array([list(wx.ravel())]), pa.array([rest]), pa.array([ll]), pa.array([n], pa.int64())], names=["w", "wx", "xx", "ll", "n"])
+        total = np.concatenate((w, wx.ravel(), [rest, ll, n]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "sum"])
 
     return run
 
@@ -51,11 +52,13 @@ def classify(df: DataFrame, vector: str, k: int, iterations: int, seed: int = 0)
     share, sigma2, history = np.full(k, 1 / k), 1.0, []
     d = refs.shape[1]
     for _ in range(iterations):
-        rows = df.select(vector).mapInArrow(_sums(vector, (refs, share, sigma2)), "w array<double>, wx array<double>, xx double, ll double, n long")
-        total = rows.agg(*[F.array(*[F.sum(F.col(c)[i]) for i in range(m)]).alias(c) for c, m in (("w", k), ("wx", k * d))], *[F.sum(c).alias(c) for c in ("xx", "ll", "n")]).first()
-        w, wx = np.array(total.w), np.array(total.wx).reshape(k, d)
-        history.append(total.ll)
+        rows = df.select(vector).mapInArrow(_sums(vector, (refs, share, sigma2)), "at long, sum double")
+        got = np.zeros(k + k * d + 3)
+        for r in rows.groupBy("at").agg(F.sum("sum").alias("sum")).toLocalIterator():  # as many rows as the model has numbers
+            got[r["at"]] = r["sum"]
+        w, wx, (xx, ll, n) = got[:k], got[k:-3].reshape(k, d), got[-3:]
+        history.append(float(ll))
         refs = np.where(w[:, None] > 1e-12, wx / np.maximum(w, 1e-12)[:, None], refs)
         share = w / w.sum()
-        sigma2 = max((total.xx - float((w[:, None] * refs * refs).sum())) / (total.n * d), 1e-9)
+        sigma2 = max((xx - float((w[:, None] * refs * refs).sum())) / (n * d), 1e-9)
     return refs, history

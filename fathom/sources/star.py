@@ -47,6 +47,9 @@ def blocks(text: str) -> list[tuple[str, bool, list[str], list[list[str]]]]:
         elif name is None or bare.startswith("#"):
             continue
         elif bare == "loop_":
+            if labels:  # a list, or a loop, came before in the same block
+                close()
+                labels, rows, ended = [], [], False
             loop = True
         elif bare.startswith("_"):
             t = tokens(bare)

@@ -246,17 +246,10 @@ def line_fit(s, d):
     return r.select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)
-SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) WHERE b.i >= a.i AND a.i < 8 AND b.i < 8 GROUP BY 1, 2""")
-def covariance(s, d):
-    c = A.covariance(table(s, d, "embeddings").select(F.slice("embedding", 1, 8).alias("v")), "v")
-    return c.select("i", "j", F.round("cov", 6).alias("cov"))
-
-
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)
 SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) WHERE b.i >= a.i GROUP BY 1, 2""")
 def covariance_whole(s, d):
-    return A.covariance(table(s, d, "embeddings"), "embedding").select("i", "j", F.round("cov", 6).alias("cov"))
+    return A.covariance(table(s, d, "embeddings"), "embedding").select("i", "j", (F.signum("cov") * F.round(F.abs("cov"), 6)).alias("cov"))  # zeros keep their sign
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)
@@ -504,3 +497,5 @@ def downstream_delete(s, d):
 
 
 from . import catalog_fields as catalog_fields  # noqa: E402  more queries register themselves
+from . import catalog_plans as catalog_plans  # noqa: E402
+from . import catalog_tables as catalog_tables  # noqa: E402

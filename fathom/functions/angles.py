@@ -40,3 +40,27 @@ def angular_distance(a: tuple[Column, Column, Column], b: tuple[Column, Column,
 def flipped(rot: Column, tilt: Column, psi: Column) -> tuple[Column, Column, Column]:
     """The other set of angles of the same orientation."""
     return rot + 180.0, -tilt, psi - 180.0
+
+
+def matrix_angles(m: list[list[Column]]) -> tuple[Column, Column, Column]:
+    """(rot, tilt, psi) in degrees of a rotation matrix; where the tilt is 0 or 180 the turn is all in psi."""
+    s = F.sqrt(m[0][2] * m[0][2] + m[1][2] * m[1][2])
+    flat = s < 1e-8
+    tilt = F.degrees(F.atan2(s, m[2][2]))
+    rot = F.when(flat, 0.0).otherwise(F.degrees(F.atan2(m[2][1], m[2][0])))
+    psi = F.when(flat & (m[2][2] > 0), F.degrees(F.atan2(-m[1][0], m[0][0]))).when(flat, F.degrees(F.atan2(m[1][0], -m[0][0]))).otherwise(F.degrees(F.atan2(m[1][2], -m[0][2])))
+    return rot, tilt, psi
+
+
+def mirrored(rot: Column, tilt: Column, psi: Column, axis: str) -> tuple[Column, Column, Column]:
+    """Angles of the image mirrored in x, in y, or in both."""
+    return {"x": (rot, tilt + 180.0, -psi), "y": (rot, tilt + 180.0, 180.0 - psi), "xy": (rot, tilt, psi + 180.0)}[axis]
+
+
+def applied(left: list[list[float]], m: list[list[Column]], right: list[list[float]]) -> list[list[Column]]:
+    """left * m * right for constant matrices beside one of columns."""
+
+    def product(a, b):
+        return [[sum((a[i][k] * b[k][j] for k in range(1, 3)), a[i][0] * b[0][j]) for j in range(3)] for i in range(3)]
+
+    return product(product([[F.lit(float(x)) for x in r] for r in left], m), [[F.lit(float(x)) for x in r] for r in right])

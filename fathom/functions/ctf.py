@@ -37,3 +37,33 @@ def ctf(x, y, u, v, angle, kilovolts, cs, amplitude, b_factor: Column | None = N
 def dose_weight(k: Column, dose: Column) -> Column:
     """Weight of a frame at frequency k before normalisation over frames."""
     return F.exp(-dose / (2 * (0.245 * F.pow(k, F.lit(-1.665)) + 2.81)))
+
+
+def ctf_complex(x, y, u, v, angle, kilovolts, cs, amplitude, shift: Column | None = None, positive: bool = True) -> tuple[Column, Column]:
+    """(re, im) of the transfer function for one side of the Ewald sphere."""
+    g = phase(x, y, u, v, angle, kilovolts, cs, amplitude, F.lit(0.0) if shift is None else shift)
+    return -F.sin(g), F.cos(g) if positive else -F.cos(g)
+
+
+def phase_gradient(x, y, u, v, angle, kilovolts, cs) -> tuple[Column, Column]:
+    """Slope of the phase in x and y."""
+    lam = wavelength(kilovolts)
+    c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    axx, axy, ayy = -(u * c * c + v * s * s), -(u - v) * c * s, -(u * s * s + v * c * c)
+    k1, k2 = math.pi * lam, (math.pi / 2) * cs * 1e7 * F.pow(lam, F.lit(3.0))
+    r2 = x * x + y * y
+    return 2 * k1 * (axx * x + axy * y) + 4 * k2 * r2 * x, 2 * k1 * (ayy * y + axy * x) + 4 * k2 * r2 * y
+
+
+def frame_weights(df, frame_keys: list[str], k: str, dose: str, name: str = "weight"):
+    """Weight of each frame at frequency k, normalised so that the squares of a frequency's frames add up to 1."""
+    from pyspark.sql import Window
+
+    w = dose_weight(F.col(k), F.col(dose))
+    out = df.withColumn(name, w)
+    return out.withColumn(name, F.col(name) / F.sqrt(F.sum(F.col(name) * F.col(name)).over(Window.partitionBy(*frame_keys, k))))
+
+
+def in_pixels(length: Column, size: Column, pixel: Column) -> Column:
+    """A resolution as a shell of a box, and the other way round: the same formula."""
+    return size * pixel / length

@@ -21,7 +21,12 @@ def with_row_id(df: DataFrame, *keys: str, name: str = "rid") -> DataFrame:
     The sorted rows are checkpointed where spark.checkpoint.dir is set, else cached; only one count for each
     partition comes to the driver.
     """
-    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    return number_rows(df.repartitionByRange(*keys).sortWithinPartitions(*keys), name)
+
+
+def number_rows(ordered: DataFrame, name: str = "rid") -> DataFrame:
+    """Rows of an ordered table numbered from 0 (eager: the rows are kept, see with_row_id)."""
+    s, df = ordered.withColumn("__m", F.monotonically_increasing_id()), ordered
     s = s.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else s.cache()
     s = s.withColumn("__p", F.shiftright("__m", 33))
     counts = s.groupBy("__p").count().collect()  # a number for each partition

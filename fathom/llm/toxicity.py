@@ -35,7 +35,7 @@ MAX_TOXIC, MAX_ORDINARY = 5000, 10_000  # labelled rows at most, those with the
 MAX_REFUTING = 40_000  # ordinary labelled rows in which the words found are counted
 CONTEXTS, RATIO = 6, 40.0  # what makes a word toxic
 COMMON = 30_000  # ordinary words in both dictionaries
-LEVEL, MATCH = 5, 6
+LEVEL, MATCH = 5, 5
 SLOPE = 1.0
 FOLDS = 4
 MOST_FALSE = 0.01  # share of ordinary labelled rows that the calibrated middle may flag

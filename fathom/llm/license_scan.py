@@ -60,10 +60,73 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "ref_mpl2",
+    "this source code form is subject to the terms of the mozilla public license v": "ref_mpl2",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense_free",
+    "you should have received a copy of the gnu general public license along with this program": "gpl_copy",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2_only_terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3_only_terms",
+    "gnu general public license version 3 29 june 2007": "text_gpl3",
+    "gnu general public license version 2 june 1991": "text_gpl2",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gnu_verbatim",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl3_preamble",
+    "the licenses for most software are designed to take away your freedom to share and change it": "gpl2_preamble",
+    "this library is free software": "lgpl_free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl_head",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl_head",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl_head",
+    "either version 2 of the license or at your option any later version": "either_2",
+    "either version 2 1 of the license or at your option any later version": "either_21",
+    "either version 3 of the license or at your option any later version": "either_3",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21_terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_terms",
+    "this library is distributed in the hope that it will be useful but without any warranty": "lgpl_hope",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl_copy",
+    "gnu lesser general public license version 2 1 february 1999": "text_lgpl21",
+    "gnu lesser general public license version 3 29 june 2007": "text_lgpl3",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_terms",
+    "you should have received a copy of the gnu affero general public license along with this program": "agpl_copy",
+    "gnu affero general public license version 3 19 november 2007": "text_agpl3",
+    "licensed under the gnu affero general public license version 3": "ref_agpl3",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl_obtain",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl_obtain",
+    "mozilla public license version 2 0": "text_mpl2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "ref_epl2",
+    "eclipse public license v 2 0": "text_epl2",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "bsd_liability",
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd_damage",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd_advertising",
+    "licensed under the bsd 3 clause license": "ref_bsd3",
+    "licensed under the bsd 2 clause license": "ref_bsd2",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd_plain",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "zero_bsd_grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_warranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc_liability",
+    "licensed under the isc license": "ref_isc",
+    "boost software license version 1 0 august 17th 2003": "bsl_title",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl_grant",
+    "distributed under the boost software license version 1 0": "ref_bsl",
+    "this software is provided as is without any express or implied warranty": "zlib_warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib_liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "the origin of this software must not be misrepresented": "zlib_origin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib_altered",
+    "this notice may not be removed or altered from any source distribution": "zlib_notice",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql_grant",
+    "this font software is licensed under the sil open font license version 1 1": "ref_ofl",
+    "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": "ref_cc0",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "ref_cc_by_nc_sa4",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "ref_cc_by_nd4",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "ref_cc_by_nc_nd4",
+    "licensed under cc by nc sa 4 0": "ref_cc_by_nc_sa4",
+    "licensed under cc by nd 4 0": "ref_cc_by_nd4",
+    "licensed under cc by nc nd 4 0": "ref_cc_by_nc_nd4",
+    "this software is proprietary and confidential": "proprietary",
+    "unauthorized copying of this file via any medium is strictly prohibited": "proprietary",
 }
 # Every known sentence holds one of these.
-SIGNS = "licen|copyright|rights reserved|redistribut|free software|warrant|public domain|liable|permission"
+SIGNS = "licen|copyright|rights reserved|redistribut|free software|warrant|public domain|liable|permission|misrepresent|advertising materials|theory of liability|anyone is free|copy of the mpl|source distribution|proprietary|unauthorized copying"
 # The same in texts that are not normalised yet.
 RAW_SIGNS = SIGNS.replace(" ", "[^a-z0-9]+")
 _BREAK = r"(?:\r?\n|\r(?!\n))"
@@ -73,20 +136,39 @@ NOTICE = r"(?:\A|(?<=[\n\r]))([^a-z0-9\n\r]*copyright[^a-z0-9\n\r]+(?:c[^a-z0-9\
 # (licence, sequence of identifiers as a pattern), more specific ones first. Sequences are written " id id id ".
 RULES = [
     ("MIT", "( mit_title )?( copyright )?( reserved )? mit_grant  mit_notice ( mit_warranty )?( mit_liability )?"),
-    ("BSD-3-Clause", " bsd_conditions  bsd_source  bsd_binary  bsd_endorse "),
-    ("BSD-2-Clause", " bsd_conditions  bsd_source  bsd_binary "),
-    ("ISC", "( copyright )? isc_grant "),
+    ("BSD-4-Clause", " bsd_conditions  bsd_source  bsd_binary  bsd_advertising ( bsd_endorse )?( bsd_warranty )?( bsd_liability )?( bsd_damage )?"),
+    ("BSD-3-Clause", " bsd_conditions  bsd_source  bsd_binary  bsd_endorse ( bsd_warranty )?( bsd_liability )?( bsd_damage )?| ref_bsd3 "),
+    ("BSD-2-Clause", " bsd_conditions  bsd_source  bsd_binary ( bsd_warranty )?( bsd_liability )?( bsd_damage )?| ref_bsd2 "),
+    ("ISC", "( copyright )? isc_grant ( isc_warranty )?( isc_liability )?"),
+    ("0BSD", "( copyright )? zero_bsd_grant ( isc_warranty )?( isc_liability )?"),
+    ("BSL-1.0", "( bsl_title )? bsl_grant | ref_bsl "),
+    ("Zlib", "( zlib_warranty )?( zlib_liability )? zlib_grant ( zlib_origin )?( zlib_altered )?( zlib_notice )?"),
+    ("PostgreSQL", "( copyright )? postgresql_grant "),
     ("Apache-2.0", " ref_apache2 ( apache_comply )?( apache_obtain )?( apache_basis )?( apache_see )?"),
-    ("GPL-3.0-or-later", "( gpl_free )? gpl3_terms ( gpl_hope )?( gpl_implied )?"),
-    ("GPL-2.0-or-later", "( gpl_free )? gpl2_terms ( gpl_hope )?( gpl_implied )?"),
-    ("GPL-3.0", " ref_gpl3 "),
-    ("GPL-2.0", " ref_gpl2 "),
+    ("GPL-3.0-or-later", "( gpl_free )?( gpl3_terms | gpl_head  either_3 )( gpl_hope )?( gpl_implied )?"),
+    ("GPL-2.0-or-later", "( gpl_free )?( gpl2_terms | gpl_head  either_2 )( gpl_hope )?( gpl_implied )?"),
+    ("AGPL-3.0-or-later", "( gpl_free )?( agpl3_terms | agpl_head  either_3 )( gpl_hope )?( gpl_implied )?( agpl_copy )?"),
+    ("LGPL-2.1-or-later", "( lgpl_free )?( lgpl21_terms | lgpl_head  either_21 )( lgpl_hope )?( gpl_implied )?( lgpl_copy )?"),
+    ("LGPL-3.0-or-later", "( lgpl_free )?( lgpl3_terms | lgpl_head  either_3 )( lgpl_hope )?( gpl_implied )?( lgpl_copy )?"),
+    ("AGPL-3.0", " text_agpl3 ( copyright )?( gnu_verbatim )?| ref_agpl3 "),
+    ("LGPL-3.0", " text_lgpl3 ( copyright )?( gnu_verbatim )?"),
+    ("LGPL-2.1", " text_lgpl21 ( copyright )?( gnu_verbatim )?"),
+    ("GPL-3.0", "( gpl_free )? gpl3_only_terms ( gpl_hope )?( gpl_implied )?| text_gpl3 ( copyright )?( gnu_verbatim )?( gpl3_preamble )?| gpl3_preamble | ref_gpl3 "),
+    ("GPL-2.0", "( gpl_free )? gpl2_only_terms ( gpl_hope )?( gpl_implied )?| text_gpl2 ( copyright )?( gnu_verbatim )?( gpl2_preamble )?| gpl2_preamble | ref_gpl2 "),
     ("MIT", " ref_mit | mit_title "),
     ("CC-BY-NC-4.0", " ref_cc_by_nc4 "),
     ("CC-BY-SA-4.0", " ref_cc_by_sa4 "),
     ("CC-BY-4.0", " ref_cc_by4 "),
-    ("MPL-2.0", " ref_mpl2 "),
-    ("Unlicense", " unlicense "),
+    ("CC-BY-NC-SA-4.0", " ref_cc_by_nc_sa4 "),
+    ("CC-BY-ND-4.0", " ref_cc_by_nd4 "),
+    ("CC-BY-NC-ND-4.0", " ref_cc_by_nc_nd4 "),
+    ("CC0-1.0", " ref_cc0 "),
+    ("MPL-2.0", " ref_mpl2 ( mpl_obtain )?| text_mpl2 "),
+    ("EPL-2.0", " ref_epl2 | text_epl2 "),
+    ("OFL-1.1", " ref_ofl "),
+    ("ISC", " ref_isc "),
+    ("Unlicense", " unlicense ( unlicense_free )?"),
+    ("proprietary", " proprietary "),
     ("all-rights-reserved", "( copyright )? reserved "),
     ("copyright-notice", " copyright "),
 ]

@@ -370,6 +370,33 @@ def test_license_signs_and_blank_lines(spark):
     assert "MIT" in got[5] & got[6] and "BSD-2-Clause" in got[7] and "ISC" in got[8]
 
 
+NOTICES = {
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\nclaim that you wrote it.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the rest.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "0BSD": "Copyright (c) 2021 X\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)",
+    "CC0-1.0": "To the extent possible under law, the person who associated CC0 with\nthis work has waived all copyright and related or neighboring rights to this work.",
+    "BSD-4-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright\nnotice, this list of conditions and the following disclaimer in the\ndocumentation and/or other materials provided with the distribution.\n3. All advertising materials mentioning features or use of this software\nmust display the following acknowledgement:\nThis product includes x.",
+    "proprietary": "Unauthorized copying of this file, via any medium is strictly prohibited.",
+}
+
+
+def test_license_notices_as_they_are_written(spark):
+    names = list(NOTICES)
+    rows = [(k, f"int x = 1;\n\n{NOTICES[n]}\n\nMore text here.") for k, n in enumerate(names)] + [(100, "plain words " * 50_000), (101, NOTICES["Zlib"]), (101, NOTICES["Zlib"])]
+    got = license_scan.license_scan(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id < 100:
+            assert names[r.doc_id] in r.licenses.split(","), names[r.doc_id]
+            assert not {"GPL-3.0-or-later", "MIT", "BSD-3-Clause", "BSD-2-Clause"} & set(r.licenses.split(",")), names[r.doc_id]
+        else:
+            assert r.licenses == ("Zlib" if r.doc_id == 101 else "")
+
+
 def test_license_plan_is_native(spark, sf_dir):
     plan = queries.op3_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -181,12 +181,17 @@ def _sequence(plain: Column, known: Column) -> Column:
 
 
 def _rules(sequence: Column) -> Column:
-    """Licences whose rules match, in rule order, each rule seeing what earlier ones have left."""
-    found, left = [], sequence
-    for name, pattern in RULES:
-        found.append(F.when(left.rlike(pattern), F.lit(name)))
-        left = F.regexp_replace(left, pattern, "|")
-    return F.array_compact(F.array(*found))
+    """Licences whose rules match, in rule order, each rule seeing what earlier ones have left; most texts have no identifier."""
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern")) for name, pattern in RULES])
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, rule: Column) -> Column:
+        hit = F.regexp_count(state["rest"], rule["pattern"]) > 0
+        names = F.when(hit, F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"])
+        return F.struct(F.when(hit, F.regexp_replace(state["rest"], rule["pattern"], F.lit("|"))).otherwise(state["rest"]).alias("rest"), names.alias("names"))
+
+    found = F.aggregate(rules, F.struct(sequence.alias("rest"), none.alias("names")), step, lambda state: state["names"])
+    return F.when(sequence == "", none).otherwise(found)
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ result is always that of one merge at a time.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import re
 
@@ -33,7 +34,9 @@ class PieceModel:
 
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
+            data = f.read()
+        proto.ParseFromString(data)
+        self.digest = hashlib.sha256(data).digest()
         n, t = proto.normalizer_spec, proto.trainer_spec
         kinds = {p.type for p in proto.pieces}
         if t.model_type != t.BPE or n.precompiled_charsmap or not n.add_dummy_prefix or n.remove_extra_whitespaces or not n.escape_whitespaces or t.treat_whitespace_as_suffix or kinds & {4, 5}:
@@ -250,6 +253,17 @@ class PieceModel:
         n = np.diff(np.concatenate(([0], end)))
         return frozenset(p[1:] for p, k in zip(found, n.tolist(), strict=True) if k == 1)
 
+    def proof(self) -> bytes:
+        """whole as a bit for each piece of the vocabulary, after a digest of the model file: made once, sent to all."""
+        return self.digest + np.packbits([p[:1] == SPACE and p[1:] in self.whole for p in self.pieces]).tobytes()
+
+    def proven(self, proof: bytes) -> frozenset[str]:
+        """whole from a proof, which has to be of this model file."""
+        if proof[: len(self.digest)] != self.digest:
+            raise ValueError("the proof is of another model file")
+        bits = np.unpackbits(np.frombuffer(proof, np.uint8, offset=len(self.digest)), count=len(self.pieces))
+        return frozenset(self.pieces[i][1:] for i in np.flatnonzero(bits).tolist())
+
     def units_of(self, written: str) -> list[str]:
         return self.split.findall(written)
 

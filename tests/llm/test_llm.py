@@ -233,6 +233,13 @@ def test_pieces_are_the_library_s(library):
         assert model.decode(ids) == library.decode(ids)
 
 
+def test_proof_is_of_its_model():
+    m = piece_bpe.model(piece_bpe.default_path())
+    assert m.proven(m.proof()) == m.whole and len(m.proof()) < 8192
+    with pytest.raises(ValueError, match="another model"):
+        m.proven(b"x" * len(m.proof()))
+
+
 def test_whole_units_are_single_tokens(library):
     for u in filter(None, sorted(piece_bpe.model(piece_bpe.default_path()).whole)):
         assert len(library.encode(u.replace("▁", " "))) == 1

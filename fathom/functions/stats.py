@@ -72,3 +72,26 @@ def zernike(n: int, m: int, rho: Column, phi: Column) -> Column:
         return F.lit(0.0)
     terms = [(-1) ** s * math.factorial(n - s) // (math.factorial(s) * math.factorial((n + k) // 2 - s) * math.factorial((n - k) // 2 - s)) * F.pow(rho, F.lit(float(n - 2 * s))) for s in range((n - k) // 2 + 1)]
     return sum(terms[1:], terms[0]) * (F.cos(k * phi) if m >= 0 else F.sin(k * phi))
+
+
+def uniform_draw(key: Column, seed: int, low: float = 0.0, high: float = 1.0) -> Column:
+    """A number in (low, high) that only the key and the seed decide, so that any engine with md5 draws the same."""
+    from ..operators.table import random_key
+
+    return low + (high - low) * (random_key(key, seed) + 0.5) / 2.0**32
+
+
+def gaussian_draw(key: Column, seed: int, sigma: float = 1.0, mu: float = 0.0) -> Column:
+    """A normal value by the polar form of two uniform ones."""
+    return mu + sigma * F.sqrt(-2 * F.log(uniform_draw(key, seed))) * F.cos(2 * math.pi * uniform_draw(key, seed + 1))
+
+
+def log_draw(key: Column, seed: int, low: float, high: float) -> Column:
+    """A number whose logarithm is uniform."""
+    return F.exp(uniform_draw(key, seed, math.log(low), math.log(high)))
+
+
+def kaiser_blob(r: Column, a: float, alpha: float, m: int) -> Column:
+    """Kaiser-Bessel blob of radius a: 0 beyond it."""
+    s = F.sqrt(F.greatest(F.lit(0.0), 1 - F.pow(r / a, F.lit(2.0))))
+    return F.when(r > a, 0.0).otherwise(F.pow(s, F.lit(float(m))) * bessel_i(m)(alpha * s) / _series(m, 1, alpha))

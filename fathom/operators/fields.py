@@ -228,3 +228,51 @@ def gain(frames: DataFrame, pixels: str, inverse: bool = True) -> DataFrame:
     m = s.agg(F.avg("s").alias("m"))  # one row
     share = F.col("s") / F.col("m")
     return s.crossJoin(F.broadcast(m)).select("i", (F.when(share == 0, 1.0).otherwise(1 / share) if inverse else share).alias("gain"))
+
+
+def binary_patterns(a: Column, ny: int, nx: int) -> Column:
+    """For each inner pixel, row by row, the number whose bits say which of its eight neighbours, from the upper left clockwise,
+    are no smaller."""
+    around = [-nx - 1, -nx, -nx + 1, 1, nx + 1, nx, nx - 1, -1]
+
+    def one(k: Column) -> Column:
+        i = (F.floor(k / (nx - 2)) + 1) * nx + k % (nx - 2) + 1
+        return sum(((F.get(a, (i + d).cast("int")) >= F.get(a, i.cast("int"))).cast("int") * (1 << n) for n, d in enumerate(around)), F.lit(0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit((ny - 2) * (nx - 2) - 1)), one)
+
+
+def texture(pixels: DataFrame, image: str, levels: int) -> DataFrame:
+    """Contrast, energy, homogeneity and entropy of how grey levels of each image's pixels and their right neighbours go together."""
+    w = Window.partitionBy(image)
+    span = F.max("v").over(w) - F.min("v").over(w)
+    level = F.least(F.lit(levels - 1), F.floor(F.coalesce(F.try_divide(F.col("v") - F.min("v").over(w), span), F.lit(0.0)) * levels)).cast("int")
+    p = pixels.withColumn("__l", level).withColumn("__r", F.lead("__l").over(Window.partitionBy(image, "y").orderBy("x"))).where("__r is not null")
+    g = p.groupBy(image, "__l", "__r").agg(F.count("*").alias("__n"))
+    share = F.col("__n") / F.sum("__n").over(Window.partitionBy(image))
+    g = g.withColumn("__p", share).withColumn("__d", F.col("__l") - F.col("__r"))
+    return g.groupBy(image).agg(
+        F.sum(F.col("__p") * F.col("__d") * F.col("__d")).alias("contrast"), F.sum(F.col("__p") * F.col("__p")).alias("energy"),
+        F.sum(F.col("__p") / (1 + F.abs("__d"))).alias("homogeneity"), F.sum(-F.col("__p") * F.log("__p")).alias("entropy"),
+    )
+
+
+def tapered(pixels: DataFrame, ny: int, nx: int, width: int) -> DataFrame:
+    """A long table of images that fall off to their edges over so many pixels by a raised cosine."""
+    import math
+
+    d = F.least(F.col("y"), F.col("x"), ny - 1 - F.col("y"), nx - 1 - F.col("x"))
+    return pixels.withColumn("v", F.when(d >= width, F.col("v")).otherwise(F.col("v") * (0.5 - 0.5 * F.cos(math.pi * (d + 1) / (width + 1)))))
+
+
+def ring_histogram(pixels: DataFrame, image: str, centre: tuple[float, float], low: float, width: float) -> DataFrame:
+    """(image, ring, bin, n) of the values in each ring of rounded radius."""
+    ring = F.round(F.sqrt(F.pow(F.col("y") - centre[0], F.lit(2.0)) + F.pow(F.col("x") - centre[1], F.lit(2.0)))).cast("int")
+    return pixels.groupBy(image, ring.alias("ring"), F.floor((F.col("v") - low) / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def wrapped_peak(a: Column, ny: int, nx: int) -> tuple[Column, Column]:
+    """(dy, dx) of the first largest pixel of a correlation map, the far half of each axis counted as negative."""
+    i = first_max(a)
+    y, x = F.floor(i / nx).cast("int"), (i % nx).cast("int")
+    return F.when(y > ny // 2, y - ny).otherwise(y), F.when(x > nx // 2, x - nx).otherwise(x)

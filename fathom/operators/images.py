@@ -196,3 +196,24 @@ def centred(a: np.ndarray) -> np.ndarray:
         cy, cx = ((p.sum(1) @ np.arange(ny)) / s, (p.sum(0) @ np.arange(nx)) / s) if s > 0 else (ny // 2, nx // 2)
         out[k] = np.roll(x, (int(np.floor(ny // 2 - cy + 0.5)), int(np.floor(nx // 2 - cx + 0.5))), (0, 1))
     return out
+
+
+def shell_weighted(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Every coefficient times its shell's weight (rounded radius in coefficients; shells beyond the last get the last)."""
+    ny, nx = a.shape[-2:]
+    r = np.rint(np.hypot(*np.meshgrid(np.fft.fftfreq(ny) * ny, np.fft.fftfreq(nx) * nx, indexing="ij"))).astype(int)
+    return np.fft.ifft2(np.fft.fft2(a) * np.asarray(weights)[np.minimum(r, len(weights) - 1)]).real
+
+
+def blobs(a: np.ndarray, threshold: float) -> np.ndarray:
+    """Connected parts (by edges) of the pixels that reach the threshold: 1 more than the index of a part's first pixel, 0 elsewhere."""
+    ny, nx = a.shape[-2:]
+    on = a >= threshold
+    label = np.where(on, np.arange(1.0, ny * nx + 1).reshape(ny, nx), np.inf)
+    while True:
+        p = np.pad(label, ((0, 0), (1, 1), (1, 1)), constant_values=np.inf)
+        new = np.minimum.reduce([p[:, 1:-1, 1:-1], p[:, :-2, 1:-1], p[:, 2:, 1:-1], p[:, 1:-1, :-2], p[:, 1:-1, 2:]])
+        new = np.where(on, new, np.inf)
+        if (new == label).all():
+            return np.where(on, label, 0.0)
+        label = new

@@ -265,3 +265,35 @@ def curve_length(df: DataFrame, curve: list[str], order: str, *axes: str) -> Dat
 
 def schema_with(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
+
+
+def best_on_grid(df: DataFrame, grid: DataFrame, cost: Column, *keys: str) -> DataFrame:
+    """For each key the row of a small grid (a defocus search) of least summed cost, ties to the smallest, with that cost.
+
+    The grid is a list of values to try, not data, and is broadcast.
+    """
+    g = grid.columns
+    tried = df.crossJoin(F.broadcast(grid)).groupBy(*keys, *g).agg(F.sum(cost).alias("cost"))
+    best = tried.groupBy(*keys).agg(F.min_by(F.struct(*g, "cost"), F.struct("cost", *g)).alias("b"))
+    return best.select(*keys, "b.*")
+
+
+def affine_fit(df: DataFrame, x: str, y: str, u: str, v: str, *groups: str) -> DataFrame:
+    """The matrix (a b; c d) that takes (x, y) nearest to (u, v), by least squares, as of a magnification."""
+    terms = {"xx": (x, x), "xy": (x, y), "yy": (y, y), "xu": (x, u), "yu": (y, u), "xv": (x, v), "yv": (y, v)}
+    s = df.groupBy(*groups).agg(*[F.sum(F.col(p) * F.col(q)).alias(f"__{k}") for k, (p, q) in terms.items()])
+    det = F.expr("__xx * __yy - __xy * __xy")
+    out = {"a": "__xu * __yy - __yu * __xy", "b": "__yu * __xx - __xu * __xy", "c": "__xv * __yy - __yv * __xy", "d": "__yv * __xx - __xv * __xy"}
+    return s.select(*groups, *[F.try_divide(F.expr(e), det).alias(k) for k, e in out.items()])
+
+
+def cell(df: DataFrame, rid: str, row: int, column: str) -> DataFrame:
+    """The value in one row, the last for -1 and so on; no row where there is none."""
+    if row >= 0:
+        return df.where(F.col(rid) == row).select(column)
+    return df.orderBy(F.desc(rid)).limit(-row).orderBy(rid).limit(1).select(column)
+
+
+def spheres(tomograms: DataFrame, markers: DataFrame, tomogram: str) -> DataFrame:
+    """A row for each marker (x, y, z, r) of a tomogram, as the parameters of a sphere."""
+    return tomograms.join(markers, tomogram).withColumn("sphere", F.array(*[F.col(c).cast("double") for c in ("x", "y", "z", "r")])).drop("x", "y", "z", "r")

@@ -105,3 +105,74 @@ def translations(spark: SparkSession, reach: float, step: float) -> DataFrame:
     k = int(reach / step)
     axis = spark.range(-k, k + 1).select((F.col("id") * step).alias("v"))
     return axis.select(F.col("v").alias("dx")).crossJoin(F.broadcast(axis.select(F.col("v").alias("dy")))).where(F.col("dx") ** 2 + F.col("dy") ** 2 <= reach * reach)
+
+
+def rotated_volume(volume: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """A cube turned about n // 2, what was at p coming to matrix * p (x, y, z), by linear interpolation; 0 where nothing came."""
+    n = volume.shape[0]
+    z, y, x = (g - n // 2 for g in np.mgrid[:n, :n, :n])
+    p = np.round(np.einsum("ji,jzyx->izyx", matrix, np.stack((x, y, z)).astype(float)) + n // 2, 9)
+    low = np.floor(p).astype(int)
+    out = np.zeros(volume.shape)
+    for c in np.ndindex(2, 2, 2):
+        step = np.array(c)[:, None, None, None]
+        at = low + step
+        w = np.prod(np.where(step == 1, p - low, 1 - (p - low)), 0)
+        ok = ((at >= 0) & (at < n)).all(0)
+        i, j, k = np.clip(at, 0, n - 1)
+        out += np.where(ok, w, 0) * volume[k, j, i]
+    return out
+
+
+def symmetrised(volume: np.ndarray, group: list[np.ndarray]) -> np.ndarray:
+    """The mean of a cube over the rotations of a group."""
+    return sum(rotated_volume(volume, m) for m in group) / len(group)
+
+
+def per_volume(df: DataFrame, kernel, pixels: str, n: int) -> DataFrame:
+    """The table with a kernel applied to its cubes (arrays of n * n * n, z slowest), one at a time."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from ..session import ship
+
+    ship(df.sparkSession)
+    kind = to_arrow_type(df.schema[pixels].dataType)
+
+    def run(batches):
+        for b in batches:
+            out = [None if v is None else kernel(np.array(v, float).reshape(n, n, n)).ravel() for v in b.column(pixels).to_pylist()]
+            yield b.set_column(b.schema.names.index(pixels), pixels, pa.array(out, kind))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def cylinder(spark: SparkSession, n: int, inner: float, outer: float, soft: float) -> DataFrame:
+    """(z, y, x, v): a hollow cylinder along z with raised cosine walls outside both radii."""
+    i = F.col("id")
+    z, y, x = F.floor(i / (n * n)), F.floor(i / n) % n, i % n
+    r = F.sqrt(F.pow(y - n // 2, F.lit(2.0)) + F.pow(x - n // 2, F.lit(2.0)))
+    beyond = F.greatest(r - outer, inner - r, F.lit(0.0))
+    v = F.when(beyond >= soft, 0.0).otherwise(0.5 + 0.5 * F.cos(math.pi * beyond / soft))
+    return spark.range(n**3).select(z.cast("int").alias("z"), y.cast("int").alias("y"), x.cast("int").alias("x"), v.alias("v"))
+
+
+def true_fsc(masked: Column, randomised: Column, shell: Column, start: int) -> Column:
+    """A masked correlation freed of what the mask adds, two shells after randomisation began; the masked one before."""
+    return F.when(shell < start + 2, masked).otherwise((masked - randomised) / (1 - randomised))
+
+
+def part_fsc(whole: Column, fraction: Column) -> Column:
+    """Correlation that part of a map with this fraction of its signal would have."""
+    return fraction * whole / (1 + (fraction - 1) * whole)
+
+
+def joined_halves(coefficients: DataFrame, shell: str, upto: int, a: list[str], b: list[str]) -> DataFrame:
+    """Coefficients of two halves side by side, both replaced by their mean within the first shells."""
+    low = F.col(shell) <= upto
+    return coefficients.withColumns({c: F.when(low, (F.col(p) + F.col(q)) / 2).otherwise(F.col(c)) for p, q in zip(a, b, strict=True) for c in (p, q)})
+
+
+def momentum_step(model: DataFrame, gradient: str, velocity: str, value: str, mu: float, rate: float) -> DataFrame:
+    """A step down the gradient with momentum: velocity' = mu velocity + (1 - mu) gradient, value' = value - rate velocity'."""
+    v = mu * F.col(velocity) + (1 - mu) * F.col(gradient)
+    return model.withColumns({velocity: v, value: F.col(value) - rate * v})

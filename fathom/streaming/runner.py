@@ -33,3 +33,11 @@ def while_growing(spark: SparkSession, folder: str, schema, step: Callable[[Data
 
     stream = spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", most_files).load(folder)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """Lets a query work for so long at most; whether it ended by itself. What it has not done a later start goes on with."""
+    ended = query.awaitTermination(seconds)
+    if not ended:
+        query.stop()
+    return bool(ended)

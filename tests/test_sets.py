@@ -150,3 +150,25 @@ def test_fields_of_nulls_and_edges(spark):
     got = {r.k: r.a for r in df.select("k", fields.without_nan(F.col("a"), 0.5).alias("a")).collect()}
     assert got == {1: [1.0, 0.5, 3.0, 0.5], 2: None}
     assert fields.long_form(df, "k", "a", 2).count() == 4
+
+
+def test_stream_for_a_limited_time(spark, tmp_path):
+    from fathom.streaming import runner
+
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    q = runner.on_the_fly(spark, f"{tmp_path}/in", "id long", lambda df: df, f"{tmp_path}/out", f"{tmp_path}/check", every="1 hour")
+    assert runner.run_for(q, 20) is False and not q.isActive
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+    q = runner.on_the_fly(spark, f"{tmp_path}/in", "id long", lambda df: df, f"{tmp_path}/out", f"{tmp_path}/check")
+    assert runner.run_for(q, 60) is True
+
+
+def test_volumes_turn_and_average():
+    from fathom.operators import volumes
+
+    v = np.zeros((5, 5, 5))
+    v[2, 2, 4] = 1  # on x
+    turned = volumes.rotated_volume(v, volumes.axis_rotation((0, 0, 1), 90))
+    assert turned[2, 4, 2] == pytest.approx(1) and turned.sum() == pytest.approx(1)
+    four = volumes.symmetrised(v, volumes.symmetry_group("C4"))
+    assert [four[2, 2, 4], four[2, 4, 2], four[2, 2, 0], four[2, 0, 2]] == pytest.approx([0.25] * 4)

@@ -14,6 +14,7 @@ import functools
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 
@@ -182,34 +183,40 @@ class PieceModel:
         return sym, np.searchsorted(unit, np.arange(n))
 
     def _by_heap(self, text: str) -> np.ndarray:
-        sym = self._symbols(text).tolist()
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        a = np.array(sym, np.int32)
-        ok = (a[:-1] >= 0) & (a[1:] >= 0)
-        made = np.where(ok, self._pairs(np.maximum(a[:-1], 0), np.maximum(a[1:], 0)), -1)
-        heap = [(int(self.ranks[m]), i, m) for i, m in enumerate(made.tolist()) if m >= 0]
-        heapq.heapify(heap)
-        pair = self._pair_table()
-        size = [1] * n
-        heap_sizes = {i: (1, 1) for _, i, _ in heap}
-        heap = [(r, i, m, *heap_sizes[i]) for r, i, m in heap]
+        """One unit by a linked list and a heap of rank and place in one number: some 120 bytes a character."""
+        start = self._symbols(text)
+        n = len(start)
+        ok = (start[:-1] >= 0) & (start[1:] >= 0)
+        made = np.full(n, -1, np.int32)
+        made[:-1][ok] = self._pairs(start[:-1][ok], start[1:][ok])
+        at = np.flatnonzero(made >= 0)
+        heap = (self.ranks[made[at]].astype(np.int64) << 32 | at).tolist()
         heapq.heapify(heap)
+        sym, after, before, now = (array("i", x.astype(np.int32).tobytes()) for x in (start, np.arange(1, n + 1), np.arange(-1, n - 1), made))
+        gone, pair, ranks, width, low = bytearray(n), self._pair_table(), self._rank_list(), self.width, (1 << 32) - 1
         while heap:
-            _, i, m, p, q = heapq.heappop(heap)
-            j = after[i]
-            if size[i] != p or j >= n or size[j] != q:
+            top = heapq.heappop(heap)
+            i = top & low
+            k = now[i]
+            if k < 0 or ranks[k] != top >> 32:  # the pair that stood here has changed since
                 continue
-            sym[i], size[i], size[j] = m, p + q, 0
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and sym[x] >= 0 and sym[y] >= 0:
-                    k = pair.get(sym[x] * self.width + sym[y])
-                    if k is not None:
-                        heapq.heappush(heap, (int(self.ranks[k]), x, k, size[x], size[y]))
-        return np.array([s for s, z in zip(sym, size, strict=True) if z], np.int32)
+            j = after[i]
+            sym[i], gone[j], now[j] = k, 1, -1
+            after[i] = end = after[j]
+            if end < n:
+                before[end] = i
+            for x, y in ((before[i], i), (i, end)):
+                if x < 0:
+                    continue
+                m = pair.get(sym[x] * width + sym[y], -1) if y < n and sym[x] >= 0 and sym[y] >= 0 else -1
+                now[x] = m
+                if m >= 0:
+                    heapq.heappush(heap, ranks[m] << 32 | x)
+        return np.frombuffer(sym, np.int32)[np.frombuffer(gone, np.uint8) == 0].copy()
+
+    @functools.cache  # noqa: B019 - one model for each process
+    def _rank_list(self) -> list[int]:
+        return self.ranks.tolist()
 
     @functools.cache  # noqa: B019 - one model for each process
     def _pair_table(self) -> dict[int, int]:

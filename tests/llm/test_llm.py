@@ -233,6 +233,14 @@ def test_pieces_are_the_library_s(library):
         assert model.decode(ids) == library.decode(ids)
 
 
+def test_very_long_units_are_the_library_s(library):
+    model, rng = piece_bpe.model(piece_bpe.default_path()), random.Random(6)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 200_000), ("etaoinsh", 50_000), ("aé—ß漢\U0001f600x=", 50_000), ("ab\n", 50_000), ("-=*", 30_000)):
+        t = "".join(rng.choice(letters) for _ in range(n))
+        ids = model.encode_text(t)
+        assert ids == library.encode(t) and model.decode(ids) == t
+
+
 def test_proof_is_of_its_model():
     m = piece_bpe.model(piece_bpe.default_path())
     assert m.proven(m.proof()) == m.whole and len(m.proof()) < 8192

@@ -497,6 +497,7 @@ def downstream_delete(s, d):
 
 
 from . import catalog_fields as catalog_fields  # noqa: E402  more queries register themselves
+from . import catalog_more as catalog_more  # noqa: E402
 from . import catalog_plans as catalog_plans  # noqa: E402
 from . import catalog_tables as catalog_tables  # noqa: E402
 from . import catalog_volumes as catalog_volumes  # noqa: E402

@@ -276,3 +276,22 @@ def wrapped_peak(a: Column, ny: int, nx: int) -> tuple[Column, Column]:
     i = first_max(a)
     y, x = F.floor(i / nx).cast("int"), (i % nx).cast("int")
     return F.when(y > ny // 2, y - ny).otherwise(y), F.when(x > nx // 2, x - nx).otherwise(x)
+
+
+def structure_tensor(pixels: DataFrame, image: str) -> DataFrame:
+    """(image, y, x, xx, xy, yy): products of central differences at the inner pixels of a long table."""
+    row, column = Window.partitionBy(image, "y").orderBy("x"), Window.partitionBy(image, "x").orderBy("y")
+    p = pixels.withColumn("__gx", (F.lead("v").over(row) - F.lag("v").over(row)) / 2).withColumn("__gy", (F.lead("v").over(column) - F.lag("v").over(column)) / 2)
+    gx, gy = F.col("__gx"), F.col("__gy")
+    return p.where(gx.isNotNull() & gy.isNotNull()).select(image, "y", "x", (gx * gx).alias("xx"), (gx * gy).alias("xy"), (gy * gy).alias("yy"))
+
+
+def window_3d(a: Column, n: int, z0: Column, y0: Column, x0: Column, size: int, outside: float = 0.0) -> Column:
+    """size^3 voxels of a cube of n^3 from (z0, y0, x0) on; those beyond the edge get the value for outside."""
+
+    def one(i: Column) -> Column:
+        z, y, x = F.floor(i / (size * size)) + z0, F.floor(i / size) % size + y0, i % size + x0
+        inside = (z >= 0) & (z < n) & (y >= 0) & (y < n) & (x >= 0) & (x < n)
+        return F.when(inside, F.get(a, ((z * n + y) * n + x).cast("int"))).otherwise(F.lit(outside))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size**3 - 1)), one)

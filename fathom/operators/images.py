@@ -217,3 +217,25 @@ def blobs(a: np.ndarray, threshold: float) -> np.ndarray:
         if (new == label).all():
             return np.where(on, label, 0.0)
         label = new
+
+
+def wiener_divided(a: np.ndarray, ctf: np.ndarray, noise: float) -> np.ndarray:
+    """Images divided by a transfer function where that is strong: times ctf / (ctf squared + noise)."""
+    return np.fft.ifft2(np.fft.fft2(a) * ctf / (ctf * ctf + noise)).real
+
+
+def gridding_corrected(a: np.ndarray, padding: float, order: int = 2) -> np.ndarray:
+    """Images divided by what interpolation in a padded transform does to them: a power of sinc of the distance from n // 2."""
+    ny, nx = a.shape[-2:]
+    r = np.hypot((np.arange(ny) - ny // 2)[:, None] / (padding * ny), (np.arange(nx) - nx // 2)[None] / (padding * nx))
+    return a / np.sinc(r) ** order
+
+
+def subtracted(a: np.ndarray, reference: np.ndarray, ctf: np.ndarray) -> np.ndarray:
+    """Images less a reference as the microscope would have shown it."""
+    return a - np.fft.ifft2(np.fft.fft2(reference) * ctf).real
+
+
+def smaller(a: np.ndarray, sigma: float) -> np.ndarray:
+    """The next level of a pyramid: smoothed by a Gaussian of sigma pixels, every second pixel kept."""
+    return filtered(a, np.exp(-2 * (np.pi * sigma * frequency(*a.shape[-2:])) ** 2))[..., ::2, ::2]

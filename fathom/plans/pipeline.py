@@ -126,3 +126,11 @@ def substituted(commands: DataFrame, rows: DataFrame, command: str, mark: str =
     for c in rows.columns:
         text = F.replace(text, F.lit(f"{mark}{c}{mark}"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return out.withColumn("command", text)
+
+
+def renamed_jobs(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """Job names inside a column of parameters replaced by those of the jobs that a repeated run made; names is a scheme's few jobs."""
+    out = F.col(column)
+    for old, new in names.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return df.withColumn(column, out)

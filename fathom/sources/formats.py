@@ -219,3 +219,22 @@ def bild_lines(df: DataFrame, x: str, y: str, z: str, rot: str, tilt: str, share
     ends = [F.col(c) + radius * e for c, e in zip((x, y, z), d, strict=True)] + [F.col(c) + radius * (1 + 0.3 * v) * e for c, e in zip((x, y, z), d, strict=True)]
     line = F.concat(F.format_string(".color %.3f 0.000 %.3f\n", v, 1 - v), F.format_string(".cylinder %.3f %.3f %.3f %.3f %.3f %.3f %.3f", *ends, F.lit(width) * v))
     return df.crossJoin(F.broadcast(w)).select(line.alias("value"))
+
+
+def read_dynamo_table(spark: SparkSession, paths) -> DataFrame:
+    """(tag, dx, dy, dz, tdrot, tilt, narot, tomogram, x, y, z) of particle tables of numbers in columns."""
+    # Columns from 1.
+    at = {"tag": 1, "dx": 4, "dy": 5, "dz": 6, "tdrot": 7, "tilt": 8, "narot": 9, "tomogram": 20, "x": 24, "y": 25, "z": 26}
+    v = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(paths).where(F.trim("value") != "").select(*[F.get(v, F.lit(k - 1)).try_cast("long" if c in ("tag", "tomogram") else "double").alias(c) for c, k in at.items()])
+
+
+def import_files(spark: SparkSession, folder: str, pattern: str, group: int = 1) -> DataFrame:
+    """(file, bytes, optics_group) of the files of a folder and those below whose names fit a pattern; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.lit(group).alias("optics_group"))
+
+
+def table_lines(df: DataFrame, *columns: str, gap: str = " ") -> DataFrame:
+    """Columns of a table as lines of text, nulls empty."""
+    return df.select(F.concat_ws(gap, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, libraries and held-out labels, with awkward rows."""
 
 import hashlib
+import math
 import random
 import textwrap
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+import zstandard
 
 import corpus_pipeline
 from fathom.llm import _common as C
@@ -559,9 +561,17 @@ def test_pipeline(spark, sf_dir):
         rows = docs.collect()
         texts = {r.doc_id: r.text for r in rows}
         assert set(texts) <= set(before) and all(r.n_chars == len(r.text) for r in rows)
+        if k == 0:
+            verdicts = quality.quality(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()
+            assert set(texts) == {r.doc_id for r in verdicts if r.kept} and all(texts[i] == before[i] for i in texts)
         if k == 1:
             want = {c for _, _, c in brute_simhash(list(before.items()))}
             assert set(texts) == want
+        if k == 2:
+            body = {i: (t or "").encode() for i, t in before.items()}
+            gone = induced_sorting.repeated(list(body.values()), 400)
+            want = {i: bytes(x for x, g in zip(b, flags, strict=True) if not g).decode("utf-8", "ignore") for (i, b), flags in zip(body.items(), gone, strict=True)}
+            assert texts == want and any(map(any, gone))
         if k == 3:
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
             hit = {i for i, *_, bad in brute_hits(list(before.items()), bench) if bad}
@@ -569,3 +579,53 @@ def test_pipeline(spark, sf_dir):
     model = piece_bpe.model(piece_bpe.default_path())
     want = [(i, len(ids := model.encode_text(t)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()]
     same(corpus_pipeline.run(spark, sf_dir), want)
+
+
+def test_pipeline_of_awkward_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    some = [(None, None), (1, ""), (1, None), (2, "one two " * 30), (3, "wörter " + "x" * 30_000), (3, "wörter " + "x" * 30_000), (4, " ".join(f"w{k}" for k in range(4000)))]
+    for name, rows in (("none", []), ("some", [(i, t, None, "s", 0) for i, t in some])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, 1, 0), (2, None, None), (4, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, None), (7, "")] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert [r.doc_id for r in got] == ([4] if rows else [])  # the others have fewer than ten words or repeat themselves
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores by plain use of the library, window by window, from the same fitted contents; repeated and contradicting rows."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for k in range(400):
+        words = [word() for _ in range(rng.randint(0, 90))]
+        if k % 4 == 0:
+            words = [w for x in words for w in ((x, rng.choice(("vilewretch", "foulthing"))) if rng.random() < 0.2 else (x,))]
+        rows.append((k, " ".join(words)))
+    rows += [(None, rows[0][1]), (0, rows[0][1]), (4, "other text"), (500, None)]
+    labels = [(k, int(k % 4 == 0)) for k in range(400)] + [(8, 0), (None, 1), (9, None)]
+    docs, marks = frame(spark, rows), spark.createDataFrame([(*x, "d") for x in labels], "doc_id long, toxic int, data string")
+    toxic, ordinary = toxicity.sample(docs, marks)
+    toxic.sort(), ordinary.sort()
+    contents, middle = toxicity.fit(toxic, ordinary, toxicity.refuted(docs, marks, toxic, ordinary))
+    assert b"vilewretch" in contents[0] and b"vilewretch" not in contents[1] and len(contents[0]) == len(contents[1])
+
+    def packed(content, window):
+        p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=128, dict_size=len(content), min_match=toxicity.MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(window))
+
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for i, t in rows:
+        w = (t or "").lower().encode().split()
+        saved = [packed(contents[1], b" " + b" ".join(w[a : a + 16]) + b" ") - packed(contents[0], b" " + b" ".join(w[a : a + 16]) + b" ") for a in range(0, len(w), 16)]
+        distance = sum(sorted((max(0, x) for x in saved), reverse=True)[: toxicity.TOP])
+        want.setdefault(i, []).append(1 / (1 + math.exp(min(60.0, middle - distance))))
+    for i in want:
+        assert sorted(r.score for r in got if r.doc_id == i) == pytest.approx(sorted(want[i]))
+    assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    judged = [(r.predicted, int(r.doc_id % 4 == 0)) for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert sum(p == t for p, t in judged) >= 0.9 * len(judged)

@@ -272,13 +272,15 @@ class Seen:
         out[order] = np.repeat(count - upto[first], times) + upto[:-1]
         return out
 
-    def least(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The smallest value that each of the keys was met with, here or in earlier calls."""
+    def least(self, keys: np.ndarray, value: np.ndarray, after: int = 0) -> np.ndarray:
+        """The smallest value that each of the keys was met with, here or in earlier calls; NO_ID for keys that earlier calls
+        did not meet ``after`` times."""
         order, first, times, near, known = self._found(keys)
         low = np.minimum(np.minimum.reduceat(value[order], first), self._held(self.value, near, known, NO_ID)) if len(keys) else np.zeros(0, np.int64)
-        self._keep(keys[order[first]], near, known, self._held(self.count, near, known, 0) + times, low)
+        count = self._held(self.count, near, known, 0)
+        self._keep(keys[order[first]], near, known, count + times, low)
         out = np.empty(len(keys), np.int64)
-        out[order] = np.repeat(low, times)
+        out[order] = np.repeat(np.where(count >= after, low, NO_ID), times)
         return out
 
     def _found(self, keys: np.ndarray):

@@ -5,9 +5,10 @@ a hash of what it stands for, so names are the same in every document and on eve
 exchange. Each symbol also carries the stretch of words on which its being there depends; a symbol whose
 stretch lies inside a window occurs, at the same offset, in every other occurrence of that window. So for
 each window one interior symbol is chosen by its content alone, and only windows whose symbol is shared by
-two documents can repeat. Those windows are named by 96 bits and meet by name; the smallest doc_id of each
-name decides. Symbols and windows that a task meets often are settled there, so that no part of a shuffle grows with
-the copies of one passage.
+two documents can repeat. The words of those windows go to the part of their symbol, where equal windows are found by
+hash and then compared word for word; the smallest doc_id decides. Symbols that a task meets in two documents, and
+windows that it meets often (by 64 bits of hash), are settled there, so that no part of a shuffle grows with the copies
+of one passage.
 
 Of the interior symbols, rather of four words or more, else of three, the one with the least hash is chosen, so
 neighbouring windows mostly choose the same. Runs are named in the first round only: to be a run, or none, is a
@@ -26,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ from . import _common as C
 
 U64 = np.uint64
 WINDOW, ROUNDS = 13, 3
+OFTEN = 16  # times that a task meets a window before it judges later ones itself
 LEAST, GOOD = 3, 4  # words in a chosen symbol, at least and rather; windows without one are named whole
 
 
@@ -120,8 +123,7 @@ def _starts(begin: np.ndarray, size: np.ndarray, window: int):
 
 
 def _window_names(sym: np.ndarray, starts: np.ndarray, window: int):
-    a, b = C.RangeHash(sym, 0), C.RangeHash(C.mix(sym), 1)
-    return a(starts, starts + window), b(starts, starts + window)
+    return C.RangeHash(sym)(starts, starts + window)
 
 
 def _emit(parts: int, window: int):
@@ -146,7 +148,7 @@ def _emit(parts: int, window: int):
             if len(starts):
                 name, at, left = anchors(sym, starts, window)
                 if len(left):
-                    name[left] = _window_names(sym, starts[left], window)[0]
+                    name[left] = _window_names(sym, starts[left], window)
                     at[left] = -1 - np.arange(len(left))
                 new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))))
                 count = np.diff(np.concatenate((new, [len(at)])))
@@ -196,42 +198,47 @@ def _shared(parts: int):
 
 
 def _candidates(parts: int, window: int):
-    """Names of the windows that may repeat, back to the parts of their symbols."""
+    """The words of the windows that may repeat, back to the parts of their symbols, a run of windows at a time."""
 
     def run(batches):
         names, seen = C.Names(), C.Seen()
+        press = zstandard.ZstdCompressor(level=3)
         for rows in C.grouped(r for r in C.streamed(batches) if r[3]):
             names.fresh()
             out = C.marks(C.WHOLE, parts, np.array([r[0] for r in rows if C.WHOLE in r[3]], np.int64))
             rows = [r for r in rows if C.WHOLE not in r[3]]
-            sym, begin, _ = _flat([r[2].split() for r in rows], names)
+            words = [r[2].split() for r in rows]
+            sym, begin, _ = _flat(words, names)
             picked, doc, back = [], [], []
             for k, r in enumerate(rows):
                 a, n, p = r[3][C.RANGES]
                 a, n = a.astype(np.int64), n.astype(np.int64)
                 s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 order = np.argsort(s)
-                picked.append(s[order] + begin[k])
+                picked.append(s[order])
                 back.append(np.repeat(p, n)[order])
                 doc.append(np.full(len(s), k))
             if picked:
-                s, d = np.concatenate(picked), np.concatenate(doc)
-                one, two = _window_names(sym, s, window)
+                s, d, p = (np.concatenate(x) for x in (picked, doc, back))
                 uid = np.array([r[0] for r in rows], np.int64)
                 key = np.array([C.NO_ID if r[1] is None else r[1] for r in rows], np.int64)
-                # a window that this task met with a smaller doc_id is removed for sure
-                late = key[d] > seen.least(C.mix(one) + two, key[d])
+                # a window that this task met often, once with a smaller doc_id, is removed without a further look
+                late = key[d] > seen.least(_window_names(sym, s + begin[d], window), key[d], OFTEN)
                 if late.any():
-                    known = C.marks(C.RANGES, parts, *_runs(uid[d[late]], (s - begin[d])[late]))
+                    known = C.marks(C.RANGES, parts, *_runs(uid[d[late]], s[late]))
                     for into, more in zip(out, known, strict=True):
                         into.extend(more)
-                left = np.flatnonzero(~late)
-                for p, sel in C.by_part(np.concatenate(back)[left]):
-                    sel = left[sel]
-                    used, times, step = C.steps(d[sel], (s - begin[d])[sel])
-                    out[0].append(p)
-                    out[1].append(C.OTHER)
-                    out[2].append(C.pack(one[sel], two[sel].astype(np.uint32), uid[used], key[used], times, step))
+                s, d, p = s[~late], d[~late], p[~late]
+                if len(s):
+                    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1))))
+                    count = np.diff(np.concatenate((new, [len(s)])))
+                    s, d, p = s[new], d[new], p[new]
+                    text = [b" ".join(words[k][a : a + n + window - 1]) + b"\n" for k, a, n in zip(d.tolist(), s.tolist(), count.tolist(), strict=True)]
+                    for to, sel in C.by_part(p):
+                        out[0].append(to)
+                        out[1].append(C.OTHER)
+                        body = np.frombuffer(b"".join([text[i] for i in sel.tolist()]), np.uint8)
+                        out[2].append(press.compress(C.pack(uid[d[sel]], key[d[sel]], C.small(s[sel]), C.small(count[sel]), body)))
             yield C.rows_of(*out)
 
     return run
@@ -246,26 +253,52 @@ def _runs(uid: np.ndarray, s: np.ndarray):
     return uid[new], s[new].astype(np.uint32), C.small(end - s[new])
 
 
-def _judged(parts: int):
+def _alike(ids: np.ndarray, w: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window of a sequence of word numbers, the same for windows of the same words, compared word for word."""
+    name = C.RangeHash(C.mix(ids.astype(U64) + U64(1)))(w, w + window)
+    order = np.argsort(name, kind="stable")
+    new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+    group = np.cumsum(new) - 1
+    first = w[order[np.flatnonzero(new)]][group]
+    differs = np.zeros(len(w), bool)
+    for k in range(window):
+        differs |= ids[w[order] + k] != ids[first + k]
+    out = np.empty(len(w), np.int64)
+    out[order] = group
+    others: dict[bytes, int] = {}
+    for i in order[differs].tolist():  # equal names of different words: next to never
+        out[i] = others.setdefault(ids[w[i] : w[i] + window].tobytes(), len(w) + len(others))
+    return out
+
+
+def _judged(parts: int, window: int):
     """Windows that a smaller doc_id has -> removed ranges of words, by document."""
 
     def run(batches):
-        got = []
+        got, number, ids = [], {}, []
+        unpress = zstandard.ZstdDecompressor()
         for b in batches:
             for p, kind, data in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
                 if kind != C.OTHER:
                     yield C.rows_of([p], [kind], [data])
                     continue
-                one, two, uid, key, times, step = C.unpack(data)
-                got.append((one, two, np.repeat(uid, times), np.repeat(key, times), C.positions(times, step)))
+                uid, key, s, count, body = C.unpack(unpress.decompress(data))
+                got.append((uid, key, s.astype(np.int64), count.astype(np.int64)))
+                words = body.tobytes().split()
+                ids.append(np.fromiter((number.setdefault(x, len(number)) for x in words), np.int32, len(words)))
         if not got:
             return
-        one, two, uid, key, s = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((two, one))
-        one, two, uid, key, s = (x[order] for x in (one, two, uid, key, s))
-        first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-        least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate((first, [len(one)]))))
-        late = key > least
+        uid, key, s, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        ids = np.concatenate(ids)
+        del number
+        size = count + window - 1
+        j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        same = _alike(ids, np.repeat(np.cumsum(size) - size, count) + j, window)
+        uid, key, s = np.repeat(uid, count), np.repeat(key, count), np.repeat(s, count) + j
+        order = np.argsort(same, kind="stable")
+        uid, key, s, same = uid[order], key[order], s[order], same[order]
+        first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+        late = key > np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate((first, [len(same)]))))
         if late.any():
             yield C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[late], s[late])))
 
@@ -317,6 +350,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fal
     n = C.fan_out(docs)
     found = docs.mapInArrow(_emit(n, window), C.ROUTED).repartitionById(n, F.col("part")).mapInArrow(_shared(n), C.ROUTED)
     names = C.routed(docs, found, n).mapInArrow(_candidates(n, window), C.ROUTED)
-    judged = names.repartitionById(n, F.col("part")).mapInArrow(_judged(n), C.ROUTED)
+    judged = names.repartitionById(n, F.col("part")).mapInArrow(_judged(n, window), C.ROUTED)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return C.routed(docs, judged, n).mapInArrow(_apply(window, keep_text), schema)

@@ -16,6 +16,7 @@ import zstandard
 import corpus_pipeline
 from fathom.llm import _common as C
 from fathom.llm import decontamination, html_extraction, induced_sorting, license_scan, piece_bpe, queries, quality, simhash_dedup, toxicity
+from fathom.llm import substring_dedup as substring_dedup_module
 from fathom.llm.disk_queue import DiskQueue
 from fathom.llm.piece_codec import encode_decode
 from fathom.llm.substring_dedup import substring_dedup
@@ -83,6 +84,20 @@ def test_substring_dedup(spark, seed):
     same(substring_dedup(frame(spark, rows)), brute_words(rows))
 
 
+def test_windows_are_compared_word_for_word(monkeypatch):
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 2, 400).astype(np.int32)
+    w = np.arange(395)
+    for broken in (False, True):
+        if broken:  # every window gets the same hash
+            monkeypatch.setattr(C.RangeHash, "__call__", lambda self, a, b: np.zeros(len(a), np.uint64))
+        same = substring_dedup_module._alike(ids, w, 5)
+        groups = {}
+        for k in w.tolist():
+            groups.setdefault(tuple(ids[k : k + 5]), set()).add(int(same[k]))
+        assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+
+
 def test_substring_dedup_on_documents(spark, sf_dir):
     docs = C.documents(spark, sf_dir)
     same(substring_dedup(docs), brute_words([(r.doc_id, r.text) for r in docs.collect()]))

@@ -24,6 +24,8 @@ each other. Empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -253,29 +255,33 @@ def _runs(uid: np.ndarray, s: np.ndarray):
     return uid[new], s[new].astype(np.uint32), C.small(end - s[new])
 
 
-def _alike(ids: np.ndarray, w: np.ndarray, window: int) -> np.ndarray:
-    """A number for each window of a sequence of word numbers, the same for windows of the same words, compared word for word."""
+def _alike(ids: np.ndarray, w: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which windows of the same words stand together, and where each such group starts. w has the windows' places
+    in a sequence of word numbers; equal hashes are compared word for word."""
     name = C.RangeHash(C.mix(ids.astype(U64) + U64(1)))(w, w + window)
     order = np.argsort(name, kind="stable")
-    new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
-    group = np.cumsum(new) - 1
-    first = w[order[np.flatnonzero(new)]][group]
+    name = name[order]
+    new = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    here, first = w[order], np.repeat(w[order[new]], np.diff(np.concatenate((new, [len(w)]))))
     differs = np.zeros(len(w), bool)
     for k in range(window):
-        differs |= ids[w[order] + k] != ids[first + k]
-    out = np.empty(len(w), np.int64)
-    out[order] = group
-    others: dict[bytes, int] = {}
-    for i in order[differs].tolist():  # equal names of different words: next to never
-        out[i] = others.setdefault(ids[w[i] : w[i] + window].tobytes(), len(w) + len(others))
-    return out
+        differs |= ids[here + k] != ids[first + k]
+    if differs.any():  # equal hashes of different words: next to never
+        group = np.repeat(np.arange(len(new)), np.diff(np.concatenate((new, [len(w)]))))
+        others: dict[bytes, int] = {}
+        for i in np.flatnonzero(differs).tolist():
+            group[i] = others.setdefault(ids[here[i] : here[i] + window].tobytes(), len(w) + len(others))
+        again = np.argsort(group, kind="stable")
+        order, group = order[again], group[again]
+        new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    return order, new
 
 
 def _judged(parts: int, window: int):
     """Windows that a smaller doc_id has -> removed ranges of words, by document."""
 
     def run(batches):
-        got, number, ids = [], {}, []
+        got, number, ids = [], defaultdict(itertools.count().__next__), []
         unpress = zstandard.ZstdDecompressor()
         for b in batches:
             for p, kind, data in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
@@ -283,24 +289,23 @@ def _judged(parts: int, window: int):
                     yield C.rows_of([p], [kind], [data])
                     continue
                 uid, key, s, count, body = C.unpack(unpress.decompress(data))
-                got.append((uid, key, s.astype(np.int64), count.astype(np.int64)))
+                got.append((uid.copy(), key.copy(), s.astype(np.int64), count.astype(np.int64)))
                 words = body.tobytes().split()
-                ids.append(np.fromiter((number.setdefault(x, len(number)) for x in words), np.int32, len(words)))
+                ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        number = None
         if not got:
             return
         uid, key, s, count = (np.concatenate(x) for x in zip(*got, strict=True))
         ids = np.concatenate(ids)
-        del number
         size = count + window - 1
-        j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        same = _alike(ids, np.repeat(np.cumsum(size) - size, count) + j, window)
-        uid, key, s = np.repeat(uid, count), np.repeat(key, count), np.repeat(s, count) + j
-        order = np.argsort(same, kind="stable")
-        uid, key, s, same = uid[order], key[order], s[order], same[order]
-        first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
-        late = key > np.repeat(np.minimum.reduceat(key, first), np.diff(np.concatenate((first, [len(same)]))))
-        if late.any():
-            yield C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[late], s[late])))
+        row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        j = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        order, new = _alike(ids, (np.cumsum(size) - size)[row] + j, window)
+        each = key[row[order]]
+        late = order[each > np.repeat(np.minimum.reduceat(each, new), np.diff(np.concatenate((new, [len(each)]))))]
+        if len(late):
+            yield C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[row[late]], s[row[late]] + j[late])))
+        C.trim()
 
     return run
 

@@ -6,7 +6,7 @@ exchange. Each symbol also carries the stretch of words on which its being there
 stretch lies inside a window occurs, at the same offset, in every other occurrence of that window. So for
 each window one interior symbol is chosen by its content alone, and only windows whose symbol is shared by
 two documents can repeat. The words of those windows go to the part of their symbol, where equal windows are found by
-hash and then compared word for word; the smallest doc_id decides. Symbols that a task meets in two documents, and
+hash and then compared byte for byte; the smallest doc_id decides. Symbols that a task meets in two documents, and
 windows that it meets often (by 64 bits of hash), are settled there, so that no part of a shuffle grows with the copies
 of one passage.
 
@@ -24,8 +24,6 @@ each other. Empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +35,7 @@ from . import _common as C
 
 U64 = np.uint64
 WINDOW, ROUNDS = 13, 3
+_BYTES = C.mix(np.arange(256, dtype=U64) + U64(0x8EBC6AF09C88C6E3))
 OFTEN = 16  # times that a task meets a window before it judges later ones itself
 LEAST, GOOD = 3, 4  # words in a chosen symbol, at least and rather; windows without one are named whole
 
@@ -255,22 +254,50 @@ def _runs(uid: np.ndarray, s: np.ndarray):
     return uid[new], s[new].astype(np.uint32), C.small(end - s[new])
 
 
-def _alike(ids: np.ndarray, w: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which windows of the same words stand together, and where each such group starts. w has the windows' places
-    in a sequence of word numbers; equal hashes are compared word for word."""
-    name = C.RangeHash(C.mix(ids.astype(U64) + U64(1)))(w, w + window)
+def _bounds(body: np.ndarray, count: np.ndarray, window: int):
+    """(run, place in it, first byte, byte after the last) of each window of runs of words, of which each word ends in a blank or line break."""
+    stop = np.flatnonzero((body == 32) | (body == 10))
+    begin = np.concatenate(([0], stop[:-1] + 1))
+    size = count + window - 1
+    row = np.repeat(np.arange(len(count)), count)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(size) - size)[row] + j
+    return row, j, begin[at], stop[at + window - 1]
+
+
+def _differs(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, long: int = 4096) -> np.ndarray:
+    """Whether size bytes from a on are others than those from b on, eight bytes at a time. flat has eight bytes to spare at its end."""
+    eight = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+    out = np.zeros(len(a), bool)
+    left = np.flatnonzero((size <= long) & (a != b))
+    k = 0
+    while len(left):
+        rest = size[left] - k
+        unlike = eight[a[left] + k] ^ eight[b[left] + k]
+        short = rest < 8
+        unlike[short] &= (U64(1) << (8 * rest[short]).astype(U64)) - U64(1)
+        out[left] |= unlike != 0
+        k += 8
+        left = left[(rest > 8) & (unlike == 0)]
+    for i in np.flatnonzero((size > long) & (a != b)).tolist():
+        out[i] = not np.array_equal(flat[a[i] : a[i] + size[i]], flat[b[i] : b[i] + size[i]])
+    return out
+
+
+def _alike(flat: np.ndarray, name: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which windows of the same words stand together, and where each such group starts. Windows of one name (hash)
+    are compared with the first of them, byte for byte."""
     order = np.argsort(name, kind="stable")
-    name = name[order]
-    new = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-    here, first = w[order], np.repeat(w[order[new]], np.diff(np.concatenate((new, [len(w)]))))
-    differs = np.zeros(len(w), bool)
-    for k in range(window):
-        differs |= ids[here + k] != ids[first + k]
+    new = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
+    first = np.repeat(order[new], np.diff(np.concatenate((new, [len(name)]))))
+    here, there, n = start[order], start[first], size[order]
+    differs = n != size[first]
+    differs |= _differs(flat, here, np.where(differs, here, there), n)
     if differs.any():  # equal hashes of different words: next to never
-        group = np.repeat(np.arange(len(new)), np.diff(np.concatenate((new, [len(w)]))))
+        group = np.repeat(np.arange(len(new)), np.diff(np.concatenate((new, [len(name)]))))
         others: dict[bytes, int] = {}
         for i in np.flatnonzero(differs).tolist():
-            group[i] = others.setdefault(ids[here[i] : here[i] + window].tobytes(), len(w) + len(others))
+            group[i] = others.setdefault(flat[here[i] : here[i] + n[i]].tobytes(), len(name) + len(others))
         again = np.argsort(group, kind="stable")
         order, group = order[again], group[again]
         new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -281,7 +308,7 @@ def _judged(parts: int, window: int):
     """Windows that a smaller doc_id has -> removed ranges of words, by document."""
 
     def run(batches):
-        got, number, ids = [], defaultdict(itertools.count().__next__), []
+        got, bodies, here, runs = [], [], 0, 0
         unpress = zstandard.ZstdDecompressor()
         for b in batches:
             for p, kind, data in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
@@ -289,22 +316,19 @@ def _judged(parts: int, window: int):
                     yield C.rows_of([p], [kind], [data])
                     continue
                 uid, key, s, count, body = C.unpack(unpress.decompress(data))
-                got.append((uid.copy(), key.copy(), s.astype(np.int64), count.astype(np.int64)))
-                words = body.tobytes().split()
-                ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        number = None
+                row, j, first, stop = _bounds(body, count.astype(np.int64), window)
+                got.append((C.RangeHash(_BYTES[body])(first, stop), first + here, (stop - first).astype(np.int32), (row + runs).astype(np.int32), (s.astype(np.int64)[row] + j).astype(np.uint32), uid.copy(), key.copy()))
+                bodies.append(body)
+                here, runs = here + len(body), runs + len(uid)
         if not got:
             return
-        uid, key, s, count = (np.concatenate(x) for x in zip(*got, strict=True))
-        ids = np.concatenate(ids)
-        size = count + window - 1
-        row = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        j = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-        order, new = _alike(ids, (np.cumsum(size) - size)[row] + j, window)
+        name, start, size, row, s, uid, key = (np.concatenate(x) for x in zip(*got, strict=True))
+        got = None
+        order, new = _alike(np.concatenate([*bodies, np.zeros(8, np.uint8)]), name, start, size.astype(np.int64))
         each = key[row[order]]
         late = order[each > np.repeat(np.minimum.reduceat(each, new), np.diff(np.concatenate((new, [len(each)]))))]
         if len(late):
-            yield C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[row[late]], s[row[late]] + j[late])))
+            yield C.rows_of(*C.marks(C.RANGES, parts, *_runs(uid[row[late]], s[late].astype(np.int64))))
         C.trim()
 
     return run

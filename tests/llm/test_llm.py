@@ -84,20 +84,24 @@ def test_substring_dedup(spark, seed):
     same(substring_dedup(frame(spark, rows)), brute_words(rows))
 
 
-def test_windows_are_compared_word_for_word(monkeypatch):
-    rng = np.random.default_rng(0)
-    ids = rng.integers(0, 2, 400).astype(np.int32)
-    w = np.arange(395)
-    for broken in (False, True):
-        if broken:  # every window gets the same hash
-            monkeypatch.setattr(C.RangeHash, "__call__", lambda self, a, b: np.zeros(len(a), np.uint64))
-        order, new = substring_dedup_module._alike(ids, w, 5)
-        same = np.empty(len(w), int)
-        same[order] = np.searchsorted(new, np.arange(len(w)), "right")
+def test_windows_are_compared_byte_for_byte():
+    rng = random.Random(0)
+    runs = [[rng.choice(("a", "b", "ab", "longerword", "é", "w" * 5000)) if rng.random() < 0.98 else "x" for _ in range(rng.randint(5, 30))] for _ in range(60)]
+    body = np.frombuffer("".join(" ".join(r) + "\n" for r in runs).encode(), np.uint8)
+    count = np.array([len(r) - 4 for r in runs])
+    row, j, first, stop = substring_dedup_module._bounds(body, count, 5)
+    words = [tuple(runs[r][k : k + 5]) for r, k in zip(row.tolist(), j.tolist(), strict=True)]
+    assert [bytes(body[a:b]).decode() for a, b in zip(first, stop, strict=True)] == [" ".join(w) for w in words]
+    flat = np.concatenate((body, np.zeros(8, np.uint8)))
+    good = C.RangeHash(body.astype(np.uint64) + np.uint64(7))(first, stop)
+    for name in (good, good % np.uint64(3), np.zeros(len(good), np.uint64)):  # the others collide
+        order, new = substring_dedup_module._alike(flat, name, first, stop - first)
+        same = np.empty(len(words), int)
+        same[order] = np.searchsorted(new, np.arange(len(words)), "right")
         groups = {}
-        for k in w.tolist():
-            groups.setdefault(tuple(ids[k : k + 5]), set()).add(int(same[k]))
-        assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+        for w, g in zip(words, same.tolist(), strict=True):
+            groups.setdefault(w, set()).add(g)
+        assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups) > 10
 
 
 def test_substring_dedup_on_documents(spark, sf_dir):

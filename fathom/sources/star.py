@@ -20,6 +20,8 @@ TOKEN = re.compile(r"\s*(?:\"((?:[^\"]|\"(?=\S))*)\"(?=\s|$)|'((?:[^']|'(?=\S))*
 
 def tokens(line: str) -> list[str]:
     """Words of a line: quoted ones without their quotes, up to a comment that starts a word."""
+    if not any(c in line for c in "\"'#"):
+        return line.split()
     out = []
     for m in TOKEN.finditer(line):
         if m.group(3) is not None:
@@ -62,16 +64,11 @@ def blocks(text: str) -> list[tuple[str, bool, list[str], list[list[str]]]]:
             t = tokens(bare)
             if len(t) > len(labels) or len(t) < len(labels) and len(labels) > 2:
                 raise ValueError(f"{name}: {len(t)} values for {len(labels)} labels")
-            rows = [*rows, t + [""] * (len(labels) - len(t))] if len(rows) < 64 else _push(rows, t + [""] * (len(labels) - len(t)))
+            rows.append(t + [""] * (len(labels) - len(t)))
     close()
     return out
 
 
-def _push(rows: list, row: list) -> list:
-    rows.append(row)
-    return rows
-
-
 def _cast(values: list[str], kind: T.DataType) -> list:
     if isinstance(kind, T.ArrayType):
         inner = float if isinstance(kind.elementType, T.FractionalType) else int

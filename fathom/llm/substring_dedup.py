@@ -202,44 +202,48 @@ def _candidates(parts: int, window: int):
     """The words of the windows that may repeat, back to the parts of their symbols, a run of windows at a time."""
 
     def run(batches):
-        names, seen = C.Names(), C.Seen()
+        seen = C.Seen()
         press = zstandard.ZstdCompressor(level=3)
-        for rows in C.grouped(r for r in C.streamed(batches) if r[3]):
-            names.fresh()
+        for rows in C.grouped((r for r in C.streamed(batches) if r[3]), C.CHUNK_BYTES // 2):
             out = C.marks(C.WHOLE, parts, np.array([r[0] for r in rows if C.WHOLE in r[3]], np.int64))
             rows = [r for r in rows if C.WHOLE not in r[3]]
-            words = [r[2].split() for r in rows]
-            sym, begin, _ = _flat(words, names)
-            picked, doc, back = [], [], []
-            for k, r in enumerate(rows):
-                a, n, p = r[3][C.RANGES]
-                a, n = a.astype(np.int64), n.astype(np.int64)
-                s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                order = np.argsort(s)
-                picked.append(s[order])
-                back.append(np.repeat(p, n)[order])
-                doc.append(np.full(len(s), k))
-            if picked:
+            if rows:
+                plain = [b" ".join(r[2].split()) + b"\n" for r in rows]
+                picked, doc, back = [], [], []
+                for k, r in enumerate(rows):
+                    a, n, p = r[3][C.RANGES]
+                    a, n = a.astype(np.int64), n.astype(np.int64)
+                    s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    order = np.argsort(s)
+                    picked.append(s[order])
+                    back.append(np.repeat(p, n)[order])
+                    doc.append(np.full(len(s), k))
                 s, d, p = (np.concatenate(x) for x in (picked, doc, back))
+                whole = b"".join(plain)
+                body = np.frombuffer(whole, np.uint8)
+                stop = np.flatnonzero((body == 32) | (body == 10))
+                begin = np.concatenate(([0], stop[:-1] + 1))
+                size = np.array([x.count(b" ") + 1 for x in plain])
+                at = s + (np.cumsum(size) - size)[d]
                 uid = np.array([r[0] for r in rows], np.int64)
                 key = np.array([C.NO_ID if r[1] is None else r[1] for r in rows], np.int64)
                 # a window that this task met often, once with a smaller doc_id, is removed without a further look
-                late = key[d] > seen.least(_window_names(sym, s + begin[d], window), key[d], OFTEN)
+                late = key[d] > seen.least(C.RangeHash(_BYTES[body])(begin[at], stop[at + window - 1]), key[d], OFTEN)
                 if late.any():
                     known = C.marks(C.RANGES, parts, *_runs(uid[d[late]], s[late]))
                     for into, more in zip(out, known, strict=True):
                         into.extend(more)
-                s, d, p = s[~late], d[~late], p[~late]
+                s, d, p, at = s[~late], d[~late], p[~late], at[~late]
                 if len(s):
                     new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1))))
                     count = np.diff(np.concatenate((new, [len(s)])))
-                    s, d, p = s[new], d[new], p[new]
-                    text = [b" ".join(words[k][a : a + n + window - 1]) + b"\n" for k, a, n in zip(d.tolist(), s.tolist(), count.tolist(), strict=True)]
+                    s, d, p, at = s[new], d[new], p[new], at[new]
+                    first, last = begin[at], stop[at + count + window - 2] + 1
                     for to, sel in C.by_part(p):
                         out[0].append(to)
                         out[1].append(C.OTHER)
-                        body = np.frombuffer(b"".join([text[i] for i in sel.tolist()]), np.uint8)
-                        out[2].append(press.compress(C.pack(uid[d[sel]], key[d[sel]], C.small(s[sel]), C.small(count[sel]), body)))
+                        text = b"".join([whole[a:b] for a, b in zip(first[sel].tolist(), last[sel].tolist(), strict=True)])
+                        out[2].append(press.compress(C.pack(uid[d[sel]], key[d[sel]], C.small(s[sel]), C.small(count[sel]), np.frombuffer(text, np.uint8))))
             yield C.rows_of(*out)
 
     return run

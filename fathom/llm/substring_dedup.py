@@ -102,16 +102,18 @@ def anchors(sym: np.ndarray, starts: np.ndarray, window: int = WINDOW):
     return best, at, np.flatnonzero(at < 0)
 
 
-def _flat(words: list[list[bytes]], names: C.Names):
-    """Symbols of all documents with a stop of its own before, between and after them, and where each document starts."""
-    size = np.array([len(w) for w in words], np.int64)
+def _flat(plain: list[bytes]):
+    """Symbols (hashes of words) of all texts with a stop of its own before, between and after them, and where each text starts.
+    A text is its words, one at least, with a blank between and a line break behind."""
+    body = np.frombuffer(b"".join(plain), np.uint8)
+    end = np.flatnonzero((body == 32) | (body == 10))
+    size = np.array([t.count(b" ") + 1 for t in plain], np.int64)
     begin = np.cumsum(size + 1) - size
-    sym = np.empty(int(size.sum()) + len(words) + 1, U64)
-    body = names.of([x for w in words for x in w])
+    sym = np.empty(int(size.sum()) + len(plain) + 1, U64)
     stop = np.concatenate(([0], begin + size))
     inner = np.ones(len(sym), bool)
     inner[stop] = False
-    sym[inner] = body
+    sym[inner] = C.RangeHash(_BYTES[body])(np.concatenate(([0], end[:-1] + 1)), end)
     sym[stop] = C.mix(np.arange(len(stop), dtype=U64) + U64(0x5851F42D4C957F2D))
     return sym, begin, size
 
@@ -129,22 +131,20 @@ def _window_names(sym: np.ndarray, starts: np.ndarray, window: int):
 
 def _emit(parts: int, window: int):
     def run(batches):
-        names, seen = C.Names(), C.Seen()
+        seen = C.Seen()
         for batch in C.pieces(batches):
-            names.fresh()
             best: dict[bytes, int] = {}
             keys = [C.NO_ID if i is None else i for i in C.ids(batch)]
             body = C.texts(batch)
             for k, t in enumerate(body):
                 if (j := best.setdefault(t, k)) != k and keys[k] < keys[j]:
                     best[t] = k
-            rows = sorted(best.values())
+            rows = [k for k in sorted(best.values()) if body[k] and not body[k].isspace()]
             uids = np.array([C.uid(None if i == C.NO_ID else i, t) for i, t in zip(keys, body, strict=True)], U64).view(np.int64)
             # copies of a smaller doc_id in this chunk: each of their windows is removed
             later = np.array([k for k, t in enumerate(body) if keys[k] > keys[best[t]]], np.int64)
             out = C.marks(C.WHOLE, parts, uids[later])
-            words = [body[k].split() for k in rows]
-            sym, begin, size = _flat(words, names)
+            sym, begin, size = _flat([b" ".join(body[k].split()) + b"\n" for k in rows]) if rows else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
             starts, doc = _starts(begin, size, window)
             if len(starts):
                 name, at, left = anchors(sym, starts, window)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.joins import undefined_groups
 from ..session import ship
-from .star import blocks, formatted, read_star, write_star
+from .star import blocks, formatted_column, read_star, write_star
 
 ROWS = ("particles", "micrographs", "movies", "tilt_images")  # tables that may stand beside optics, the first that is there counts
 
@@ -67,22 +67,26 @@ def write_tilt_series(whole: DataFrame, images: DataFrame, path: str, name: str,
     write_star({"global": whole.withColumn(file, F.concat(F.lit("tilt_series/"), F.col(name), F.lit(".star")))}, path, name)
 
 
-def write_parts(df: DataFrame, folder: str, name: str) -> None:
-    """A large table as a folder of files, each complete with its header and written by the task that holds its rows."""
+def write_parts(df: DataFrame, folder: str, name: str, rows: int = 100_000) -> None:
+    """A large table as a folder of files of at most so many rows, each complete with its header, written by the tasks that hold the rows."""
     ship(df.sparkSession)
     fields = [x for x in df.schema.fields if x.name not in ("rid", "file_path")]
     head = ["", f"data_{name}", "", "loop_", *[f"_{x.name} #{k}" for k, x in enumerate(fields, 1)]]
 
     def run(batches):
-        begun = False
+        n = 0
         for b in batches:
-            cols = [b.column(x.name).to_pylist() for x in fields]
-            lines = [] if begun else list(head)
-            begun = True
-            lines += [" ".join(formatted(v, x.dataType) for v, x in zip(row, fields, strict=True)) for row in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-
-    df.select([x.name for x in fields]).mapInArrow(run, "value string").write.mode("overwrite").text(folder)
+            cols = [formatted_column(b.column(x.name).to_pylist(), x.dataType) for x in fields]
+            lines = list(map(" ".join, zip(*cols, strict=True)))
+            cuts = [0, *range(-n % rows, len(lines), rows), len(lines)]  # where files begin, each with the header
+            out = lines[: cuts[1]]
+            for i, j in zip(cuts[1:], cuts[2:], strict=False):
+                out += head + lines[i:j]
+            n += len(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    lines = df.select([x.name for x in fields]).mapInArrow(run, "value string")
+    lines.write.mode("overwrite").option("maxRecordsPerFile", len(head) + rows).text(folder)
 
 
 def count_rows(spark: SparkSession, paths, table: str | None = None) -> DataFrame:

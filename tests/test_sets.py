@@ -45,6 +45,29 @@ def test_blocks_with_a_list_and_a_loop():
     assert found == [("x", True, ["a", "b"], [["1", "two words"]]), ("x", False, ["c"], [["3"], ["4"]]), ("y", True, ["d"], [["5"]])]
 
 
+def test_blocks_are_the_same_in_pieces_of_any_length():
+    text = "# made\ndata_x\n_a 1\n_b 'two words'\nloop_\n_c #1\n_d #2\n3 m_1\n4 5\n  \n6 7\ndata_y\n_e 5\n\ndata_z\nloop_\n_f\n 1\n_2\n\"a b\" # c\ndata_w"
+    whole = list(star.pieces(text))
+    assert [p[0] for p in whole] == sorted(p[0] for p in whole)
+    for chars in range(len(text)):
+        got: dict = {}
+        for number, name, listed, labels, rows in star.pieces(text, chars):
+            got[number] = (name, listed, labels, (got[number][3] if number in got else []) + rows)
+        assert list(got.values()) == star.blocks(text)
+    rows = "".join(f"{k} v\n" for k in range(100_000))
+    assert max(len(p[4]) for p in star.pieces(f"data_x\nloop_\n_a\n_b\n{rows}")) < 50_000
+
+
+def test_parts_are_files_of_bounded_rows_with_a_header_each(spark, tmp_path):
+    df = spark.range(2500, numPartitions=2).select("id", F.concat(F.lit("m "), F.col("id") % 7).alias("name"), (F.col("id") / 3 - 100).alias("x"))
+    sets.write_parts(df, f"{tmp_path}/parts", "lines", 400)
+    assert sorted(r.n for r in sets.count_rows(spark, f"{tmp_path}/parts/part-*", "lines").collect()) == sorted([400, 400, 400, 50] * 2)
+    back = star.read_star(spark, f"{tmp_path}/parts/part-*", "lines", {"id": "long", "x": "double"})
+    assert [(r.id, r.name) for r in back.orderBy("id").collect()] == [(k, f"m {k % 7}") for k in range(2500)]
+    assert back.groupBy("file_path").agg(F.min("rid").alias("a"), (F.max("rid") + 1 - F.count("*")).alias("b")).select("a", "b").distinct().collect() == [(0, 0)]
+    assert star.formatted_column([0.0, None, -2.5, 1e6, 1e-4, 3.25], df.schema["x"].dataType) == [star.formatted(v, df.schema["x"].dataType) for v in (0.0, None, -2.5, 1e6, 1e-4, 3.25)]
+
+
 def test_image_formats_round_trip():
     a = np.arange(60, dtype="f4").reshape(3, 4, 5)
     assert (formats.decode_tiff(formats.encode_tiff(a)) == a).all()

@@ -169,7 +169,7 @@ def particle_select(s, d):
 def nearest_match(s, d):
     a = table(s, d, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_acctbal").alias("v"))
     b = table(s, d, "supplier").select(F.col("s_suppkey").alias("rid"), F.col("s_acctbal").alias("v"))
-    return J.nearest_free(J.band_pairs(a, b, [("v", "v")], 50.0)).select("b_rid", "a_rid")
+    return J.nearest_within(a, b, ("v", "v"), 50.0).select("b_rid", "a_rid")
 
 
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal BETWEEN 0 AND 5000 GROUP BY 1")

@@ -208,3 +208,17 @@ def test_particles_at_nowhere(spark):
     d = spark.createDataFrame([(1, "g")], "k int, g string")
     assert J.lookup(d, spark.createDataFrame([], "g string, a int"), "g").count() == 0
     assert math.isclose(one(spark, angles.wrapped(F.lit(190.0)))[0], -170.0)
+
+
+def test_nearest_within_is_brute_force(spark):
+    r = np.random.default_rng(5)
+    a = [*np.round(r.uniform(-40, 40, 300), 1), *r.uniform(0, 1e-3, 50), 1e6, np.nan, np.inf, 0.01, float(np.nextafter(0.01, 1)), float(np.nextafter(0.01, 0)), -0.0, None]
+    b = [*np.round(r.uniform(-60, 60, 200), 1), 0.0, -1000.01, 1000.02, 1e6 + 3, np.nan, np.inf, None]
+    rows = [(int(k), None if v is None else float(v)) for k, v in zip(r.permutation(len(a)), a, strict=True)]
+    x, y = (spark.createDataFrame(q, "rid long, v double") for q in (rows, [(k, None if v is None else float(v)) for k, v in enumerate(b)]))
+    for reach in (0.0, 0.1, 3.0, 1001.0):
+        want = {(k, i, d) for k, v in enumerate(b) if v is not None for d, i in [min(((abs(u - v), i) for i, u in rows if u is not None and abs(u - v) <= reach), default=(None, None))] if d is not None}
+        got = J.nearest_within(x, y, ("v", "v"), reach)
+        assert {tuple(g) for g in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan  # no grid of pairs

@@ -165,8 +165,7 @@ SELECT g, a AS a_rid, b AS b_rid FROM f WHERE b IS NOT NULL""")
 def tilt_pair_matching(s, d):
     a = table(s, d, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_acctbal").alias("v"), F.col("c_nationkey").alias("g"))
     b = table(s, d, "supplier").select(F.col("s_suppkey").alias("rid"), F.col("s_acctbal").alias("v"), F.col("s_nationkey").alias("g"))
-    pairs = J.band_pairs(a, b, [("v", "v")], 3000.0, ["g"]).where("distance < 3000").select(F.col("a_g").alias("g"), "a_rid", "b_rid", "distance")
-    return P.first_free_pairs(pairs, ["g"], "a_rid", "b_rid").select("g", "a_rid", "b_rid")
+    return P.first_free_within(a, b, "g", ("v", "v"), 3000.0)
 
 
 _AXES = " + ".join(f"degrees(acos(greatest(-1, least(1, {' + '.join(f'm{i}{j} * n{i}{j}' for j in range(3))}))))" for i in range(3))

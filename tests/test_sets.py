@@ -195,3 +195,21 @@ def test_volumes_turn_and_average():
     assert turned[2, 4, 2] == pytest.approx(1) and turned.sum() == pytest.approx(1)
     four = volumes.symmetrised(v, volumes.symmetry_group("C4"))
     assert [four[2, 2, 4], four[2, 4, 2], four[2, 2, 0], four[2, 0, 2]] == pytest.approx([0.25] * 4)
+
+
+def test_first_free_within_is_first_free_of_all_pairs(spark):
+    r = np.random.default_rng(7)
+    cases = [(g, int(n), [float(v) for v in np.round(r.uniform(-5, 5, n), 1)]) for g, n in enumerate((1, 2, 3, 7, 40, 90))]
+    for reach in (0.0, 0.3, 2.0, 20.0):
+        a = [(g, int(k), v) for g, n, values in cases for k, v in zip(r.permutation(n), values, strict=True)] + [(None, 1, 0.0), (3, 900, None), (3, 901, float("nan")), (9, 1, 0.0)]
+        b = [(g, int(k) + 100, float(v)) for g, n, _ in cases for k, v in zip(r.permutation(n // 2 + 1), np.round(r.uniform(-5, 5, n // 2 + 1), 1), strict=True)] + [(None, 1, 0.0), (8, 1, 0.0)]
+        want, used = set(), set()
+        for g, i, v in sorted((x for x in a if x[0] is not None), key=lambda x: x[:2]):
+            free = [j for h, j, w in sorted((x for x in b if x[0] == g), key=lambda x: x[1]) if v is not None and abs(v - w) < reach and (g, j) not in used]
+            if free:
+                used.add((g, free[0]))
+                want.add((g, i, free[0]))
+        x, y = (spark.createDataFrame(q, "g int, rid long, v double") for q in (a, b))
+        assert {tuple(m) for m in P.first_free_within(x, y, "g", ("v", "v"), reach).collect()} == want
+    plan = P.first_free_within(x, y, "g", ("v", "v"), 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # candidates are not made
